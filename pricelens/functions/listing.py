@@ -42,7 +42,7 @@ def posted_instant(posted_at: Column) -> Column:
 def age_days(posted_at: Column, as_of: Column) -> Column:
     """Whole days between publication and ``as_of``, never negative; null when the date is unknown."""
     seconds = F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(posted_instant(posted_at))
-    return F.greatest(F.lit(0), F.floor(seconds / 86400)).cast("bigint")
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0), F.floor(seconds / 86400))).cast("bigint")
 
 
 def condition_from_label(label: Column, parts_words: bool = True) -> Column:

@@ -2,44 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["watch", "source", "listing_id"]
 ALERT_DDL = "scan_id DATE, seen_at TIMESTAMP, event STRING, unit_cents BIGINT, prev_cents BIGINT, suspicious BOOLEAN"
 
 
-def fold_alerts(lines: DataFrame) -> DataFrame:
-    """Notification state and alerts of every listing, folding its sightings in scan order.
-
-    A sighting alerts as ``new`` while the listing was never notified and as ``price_drop`` once its unit price is
-    at or under the last *notified* price less the watch's percentage. A carried row only sets the start value.
-    The folded array holds one entry per scan of one listing, so it is bounded by the number of scans.
-    """
+def alert_entry(lines: DataFrame) -> Column:
+    """What the fold needs of a sighting; null for one that can neither alert nor carry a start value."""
     review = F.col("review") if "review" in lines.columns else F.lit("")
     carried = "notified_cents" in lines.columns
-    suspicious = F.size("suspicious") > 0
-    eligible = (
+    suspicious = F.coalesce(F.size("suspicious") > 0, F.lit(False))
+    eligible = F.coalesce(
         ~F.col("carried") & F.col("enabled") & F.col("keep") & (F.col("merged_status") == "active")
-        & (F.coalesce(review, F.lit("")) != "ignored") & ~(suspicious & (F.col("suspicious_mode") == "never"))
-    )
-    null_long, null_ts = F.lit(None).cast("bigint"), F.lit(None).cast("timestamp")
+        & (F.coalesce(review, F.lit("")) != "ignored") & ~(suspicious & (F.col("suspicious_mode") == "never")),
+        F.lit(False))
+    null_long, null_ts, zero = F.lit(None).cast("bigint"), F.lit(None).cast("timestamp"), F.lit(0).cast("bigint")
     entry = F.struct(
-        "scan_id", "seen_at", F.coalesce(eligible, F.lit(False)).alias("eligible"), "unit_cents",
-        F.coalesce(suspicious, F.lit(False)).alias("suspicious"),
+        "scan_id", "seen_at", eligible.alias("eligible"), "unit_cents", suspicious.alias("suspicious"),
         F.col("price_drop_pct").alias("pct"),
         (F.col("notified_cents") if carried else null_long).alias("notified_cents"),
         (F.col("notified_at") if carried else null_ts).alias("notified_at"),
-        (F.coalesce("notify_count", F.lit(0)) if carried else F.lit(0)).cast("bigint").alias("notify_count"),
+        (F.coalesce("notify_count", zero) if carried else zero).alias("notify_count"),
     )
-    # Rows that can neither alert nor carry a start value do not travel to the fold.
-    useful = lines.where(eligible | F.col("carried"))
-    folded = useful.groupBy(*KEY).agg(F.sort_array(F.collect_list(entry)).alias("seen"))
-    zero = F.struct(null_long.alias("notified_cents"), null_ts.alias("notified_at"),
-                    F.lit(0).cast("bigint").alias("notify_count"),
-                    F.from_json(F.lit("[]"), f"ARRAY<STRUCT<{ALERT_DDL}>>").alias("alerts"))
-
-    def step(acc, row):
+    return F.when(eligible | F.col("carried"), entry)
+
+
+def fold_entries(seen: Column) -> Column:
+    """Fold the entries of one listing, in scan order, to its notification state and alerts.
+
+    A sighting alerts as ``new`` while the listing was never notified and as ``price_drop`` once its unit price is
+    at or under the last *notified* price less the watch's percentage. A carried entry only sets the start value.
+    The array holds at most one entry per scan, so it is bounded by the number of scans.
+    """
+    start = F.struct(F.lit(None).cast("bigint").alias("notified_cents"), F.lit(None).cast("timestamp").alias("notified_at"),
+                     F.lit(0).cast("bigint").alias("notify_count"),
+                     F.from_json(F.lit("[]"), f"ARRAY<STRUCT<{ALERT_DDL}>>").alias("alerts"))
+
+    def step(acc: Column, row: Column) -> Column:
         event = F.when(~row["eligible"], F.lit(None).cast("string")).when(
             acc["notified_cents"].isNull(), F.lit("new")).when(
             row["unit_cents"] * 100 <= acc["notified_cents"] * (100 - row["pct"]), F.lit("price_drop"))
@@ -56,9 +57,30 @@ def fold_alerts(lines: DataFrame) -> DataFrame:
             F.when(fire, F.concat(acc["alerts"], F.array(alert))).otherwise(acc["alerts"]).alias("alerts"),
         )
 
-    return folded.select(*KEY, F.aggregate("seen", zero, step).alias("f")).select(*KEY, "f.*")
+    return F.aggregate(F.sort_array(seen), start, step)
+
+
+def fold_alerts(lines: DataFrame) -> DataFrame:
+    """Notification state and alerts of every listing that has something to fold."""
+    entries = lines.withColumn("entry", alert_entry(lines)).where(F.col("entry").isNotNull())
+    folded = entries.groupBy(*KEY).agg(F.collect_list("entry").alias("seen"))
+    return folded.select(*KEY, fold_entries(F.col("seen")).alias("f")).select(*KEY, "f.*")
 
 
 def alert_rows(folded: DataFrame) -> DataFrame:
     """One row per alert."""
     return folded.select(*KEY, F.inline("alerts"))
+
+
+def alert_messages(alerts: DataFrame, lines: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Each alert as a row ready to be pushed: title, body, priority 1-5, tags, click URL."""
+    from pricelens.functions import messages as ms
+
+    facts = lines.where(~F.col("carried")).drop("event", "seen_at", "unit_cents")
+    for name, kind in (("stock", "bigint"), ("returns", "string"), ("seller_type", "string")):
+        if name not in facts.columns:
+            facts = facts.withColumn(name, F.lit(None).cast(kind))
+    rows = alerts.drop("suspicious").join(facts, [*KEY, "scan_id"])
+    return rows.select(
+        *KEY, "scan_id", "event", ms.alert_title(labels).alias("title"), ms.alert_body().alias("message"),
+        ms.alert_priority().alias("priority"), ms.alert_tags().alias("tags"), F.col("url").alias("click"))

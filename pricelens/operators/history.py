@@ -103,30 +103,32 @@ def missed_scan_runs(lines: DataFrame, scans: DataFrame, gone_after: int = GONE_
     ).withColumn("gone", counts & (run >= gone_after))
 
 
-def snapshot(lines: DataFrame, scans: DataFrame, alerts: DataFrame | None = None,
-             gone_after: int = GONE_AFTER) -> DataFrame:
-    """Current row of every listing. ``alerts`` (one row per listing) carries the notification state."""
+def snapshot(lines: DataFrame, scans: DataFrame, with_alerts: bool = True, gone_after: int = GONE_AFTER) -> DataFrame:
+    """Current row of every listing, with its notification state and the alerts of this timeline.
+
+    Last sighting, first date and alert entries come out of one aggregation that reuses the timeline's partitioning.
+    """
+    from pricelens.operators.alerts import alert_entry, fold_entries
+
     totals = scans.groupBy("watch", "source").agg(F.max("complete_through").alias("total_complete"))
     first = F.col("first_seen") if "first_seen" in lines.columns else F.lit(None).cast("timestamp")
     last = F.struct(*LAST_SEEN_COLS, F.col("scan_id").alias("last_scan_id"), F.col("seen_at").alias("last_seen"),
                     F.col("merged_status").alias("seen_status"), "complete_through")
-    state = lines.groupBy(*KEY).agg(
-        F.max_by(last, "scan_id").alias("last"),
-        F.min(F.coalesce(first, "seen_at")).alias("first_seen"),
-    ).select(*KEY, "first_seen", "last.*")
+    aggs = [F.max_by(last, "scan_id").alias("last"), F.min(F.coalesce(first, "seen_at")).alias("first_seen")]
+    if with_alerts:
+        aggs.append(F.collect_list(alert_entry(lines)).alias("entries"))
+    state = lines.groupBy(*KEY).agg(*aggs)
+    if with_alerts:
+        state = state.withColumn("f", fold_entries(F.col("entries"))).select(*KEY, "first_seen", "last.*", "f.*")
+    else:
+        state = state.select(*KEY, "first_seen", "last.*")
     state = state.join(F.broadcast(totals), ["watch", "source"])
     run = F.col("total_complete") - F.col("complete_through")
     counts = F.col("seen_status").isin("active", "pending")
-    state = state.withColumn(
+    return state.withColumn(
         "missed_scans", F.when(counts, F.least(run, F.lit(gone_after))).otherwise(F.lit(0)).cast("bigint")
     ).withColumn("status", F.when(counts & (run >= gone_after), "gone").otherwise(F.col("seen_status"))
                  ).drop("total_complete", "complete_through")
-    if alerts is None:
-        return state.withColumns({"notified_cents": F.lit(None).cast("bigint"),
-                                  "notified_at": F.lit(None).cast("timestamp"),
-                                  "notify_count": F.lit(0).cast("bigint")})
-    notes = alerts.select(*KEY, "notified_cents", "notified_at", "notify_count")
-    return state.join(notes, KEY, "left").withColumn("notify_count", F.coalesce("notify_count", F.lit(0).cast("bigint")))
 
 
 def missing_listings(state: DataFrame, scan_rows: DataFrame, scan: DataFrame) -> DataFrame:

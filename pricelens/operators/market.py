@@ -67,7 +67,8 @@ def rolling_market(history: DataFrame, eligible: DataFrame, scan_starts: DataFra
     """
     days = int(history_days)
     nxt = F.lead("seen_at").over(Window.partitionBy(*KEY).orderBy("seen_at", "obs_id"))
-    points = history.withColumn("next_at", nxt).where((F.col("family") != "") & (F.col("unit_cents") != 0))
+    cols = [*KEY, "family", "unit_cents", "seen_at"]
+    points = history.select(*cols, nxt.alias("next_at")).where((F.col("family") != "") & (F.col("unit_cents") != 0))
     points = points.join(eligible.select(*KEY), KEY, "left_semi")
 
     def bucket(ts: Column) -> Column:

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from pricelens.operators import alerts as al
 from pricelens.operators import history as hi
 
 
 def advance_state(previous: DataFrame | None, scan_rows: DataFrame, scans: DataFrame,
-                  gone_after: int = hi.GONE_AFTER) -> tuple[DataFrame, DataFrame]:
-    """New snapshot and the timeline of the batch. ``scans`` is the whole scan log so far.
+                  gone_after: int = hi.GONE_AFTER) -> DataFrame:
+    """New snapshot, with the alerts of the batch in its ``alerts`` column. ``scans`` is the whole scan log so far.
 
     Rows never seen in the batch are kept, seen ones are updated, new ones are added: a full merge by key, done as
     one union and one shuffle because the previous snapshot enters the window as one carried row per listing.
     """
-    lines = hi.timeline(scan_rows, scans, previous, gone_after)
-    return hi.snapshot(lines, scans, al.fold_alerts(lines), gone_after), lines
+    return hi.snapshot(hi.timeline(scan_rows, scans, previous, gone_after), scans, True, gone_after)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.config import watch_frame
-from pricelens.operators import alerts as al
 from pricelens.operators import history as hi
 from pricelens.operators.merging import merge_scan
 from pricelens.operators.profiles import PROFILES
@@ -55,6 +54,4 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def state(spark: SparkSession, sf: str, with_alerts: bool = True) -> DataFrame:
-    timeline = lines(spark, sf)
-    folded = al.fold_alerts(timeline) if with_alerts else None
-    return hi.snapshot(timeline, scans(spark, sf), folded)
+    return hi.snapshot(lines(spark, sf), scans(spark, sf), with_alerts)

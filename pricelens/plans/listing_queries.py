@@ -112,8 +112,8 @@ WEIGHT_STEPS = [(1000, 550), (2000, 690), (5000, 990), (10000, 1390)]
 
 
 @query("shipping_estimate", """
-    SELECT l_orderkey, l_linenumber, l_partkey, w AS weight_g, CASE WHEN w = 0 OR w > 10000 THEN 690 WHEN w <= 1000 THEN 550
-      WHEN w <= 2000 THEN 690 WHEN w <= 5000 THEN 990 ELSE 1390 END AS shipping_cents
+    SELECT l_orderkey, l_linenumber, l_partkey, w AS weight_g, CAST(CASE WHEN w = 0 OR w > 10000 THEN 690 WHEN w <= 1000 THEN 550
+      WHEN w <= 2000 THEN 690 WHEN w <= 5000 THEN 990 ELSE 1390 END AS BIGINT) AS shipping_cents
     FROM (SELECT l_orderkey, l_linenumber, l_partkey, (CAST(l_quantity AS BIGINT) - 1) * 250 AS w FROM lineitem)""")
 def shipping_estimate(spark, sf):
     weight = (F.col("l_quantity").cast("bigint") - 1) * 250
@@ -233,8 +233,8 @@ def state_merge(spark, sf):
 
     rows, scans = fr.scored_scan_rows(spark, sf), fr.scans(spark, sf)
     cut = F.lit("1998-01-01").cast("date")
-    before, _ = advance_state(None, rows.where(F.col("scan_id") < cut), scans.where(F.col("scan_id") < cut))
-    after, _ = advance_state(before, rows.where(F.col("scan_id") >= cut), scans)
+    before = advance_state(None, rows.where(F.col("scan_id") < cut), scans.where(F.col("scan_id") < cut))
+    after = advance_state(before, rows.where(F.col("scan_id") >= cut), scans)
     return state_columns(after)
 
 
@@ -249,7 +249,7 @@ def missing_listings(spark, sf):
     rows, scans = fr.scored_scan_rows(spark, sf), fr.scans(spark, sf)
     scan = F.lit("2001-06-01").cast("date")
     earlier = scans.where(F.col("scan_id") < scan)
-    state = hi.snapshot(hi.timeline(rows.where(F.col("scan_id") < scan), earlier), earlier)
+    state = hi.snapshot(hi.timeline(rows.where(F.col("scan_id") < scan), earlier), earlier, False)
     missing = hi.missing_listings(state, rows.where(F.col("scan_id") == scan), scans.where(F.col("scan_id") == scan))
     return missing.select(*KEY, "unit_cents")
 
@@ -284,7 +284,7 @@ MARKET = ("SELECT watch, 'model' AS level, model AS name, median(unit_cents) AS
 def market_of(spark, sf):
     as_of = F.lit(AS_OF).cast("timestamp")
     timeline = fr.lines(spark, sf)
-    state = hi.snapshot(timeline, fr.scans(spark, sf))
+    state = hi.snapshot(timeline, fr.scans(spark, sf), False)
     return mk.market_table(mk.market_points(hi.price_history(timeline), state, as_of, DAYS))
 
 
@@ -317,7 +317,7 @@ def scam_flags(spark, sf):
     "history", "state", "scans"))
 def rolling_market(spark, sf):
     timeline, scans = fr.lines(spark, sf), fr.scans(spark, sf)
-    state = hi.snapshot(timeline, scans)
+    state = hi.snapshot(timeline, scans, False)
     eligible = state.where(F.col("keep") & (F.col("quantity") == 1) & (F.size("suspicious") == 0))
     starts = scans.select("watch", "scan_id").distinct().withColumn("start_at", F.col("scan_id").cast("timestamp"))
     market = mk.rolling_market(hi.price_history(timeline), eligible, starts)

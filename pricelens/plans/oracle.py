@@ -23,8 +23,8 @@ def _watch_values() -> str:
     rows = []
     for w in watch_rows(WATCHES, PROFILES):
         tiers = w["tiers"] + [{"max_cents": None, "priority": None, "tags": []}] * (3 - len(w["tiers"]))
-        flat = [w["watch"], w["title"], w["profile"], w["enabled"], w["price_drop_pct"], w["suspicious_mode"],
-                w["require_delivery"], w["max_age_days"], w["label"], w["min_samples"], w["reference_cents"],
+        flat = [w["watch"], w["watch_title"], w["profile"], w["enabled"], w["price_drop_pct"], w["suspicious_mode"],
+                w["require_delivery"], w["max_age_days"], w["watch_label"], w["min_samples"], w["reference_cents"],
                 w["min_unit_cents"], w["below_median_pct"], w["max_shipping_cents"], w["max_shipping_pct"],
                 w["unit_divisor"], w["unit_label"]]
         for t in tiers:
