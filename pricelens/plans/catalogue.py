@@ -6,7 +6,7 @@ import importlib
 
 from pricelens.plans.registry import ORACLE, QUERIES
 
-MODULES = ("listing_queries", "report_queries", "text_queries")
+MODULES = ("listing_queries", "report_queries", "text_queries", "ingest_queries")
 
 
 def load():
