@@ -16,9 +16,12 @@ def source_name(number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SOURCES)), (number % 4 + 1).cast("int"))
 
 
-def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sightings from line items: part type is the watch, supplier the source, part the listing, month the scan."""
-    line = table(spark, sf_dir, "lineitem").select(
+def observation_log(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Sightings from line items: part type is the watch, supplier the source, part the listing, month the scan.
+
+    ``lines`` replaces the stored line items, for a micro-batch of them.
+    """
+    line = (lines if lines is not None else table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint").alias("ln"),
         F.col("l_quantity").cast("bigint").alias("qty"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("ext"),
