@@ -51,7 +51,7 @@ def timeline(scan_rows: DataFrame, scans: DataFrame, previous: DataFrame | None
     if previous is not None:
         kept = previous.select(*KEY, *LAST_SEEN_COLS, F.col("last_scan_id").alias("scan_id"),
                                F.col("last_seen").alias("seen_at"), F.col("seen_status").alias("status"), "first_seen",
-                               "notified_cents", "notified_at", "notify_count", F.lit(True).alias("carried"))
+                               "notified_cents", "notified_at", "notify_count", "last_point", "price_points", F.lit(True).alias("carried"))
         rows = rows.unionByName(kept, allowMissingColumns=True)
     numbered = rows.join(scans.select("watch", "source", "scan_id", "complete", "scan_no", "complete_through"),
                          ["watch", "source", "scan_id"])
@@ -85,9 +85,13 @@ def price_events(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("carried"))
 
 
+def is_price_point() -> Column:
+    return ~F.col("carried") & F.col("event").isin("new", "price_drop", "price_up")
+
+
 def price_history(lines: DataFrame) -> DataFrame:
     """Price points: first sightings and price changes only."""
-    return price_events(lines).where(F.col("event").isin("new", "price_drop", "price_up"))
+    return lines.where(is_price_point())
 
 
 def missed_scan_runs(lines: DataFrame, scans: DataFrame, gone_after: int = GONE_AFTER) -> DataFrame:
@@ -114,14 +118,20 @@ def snapshot(lines: DataFrame, scans: DataFrame, with_alerts: bool = True, gone_
     first = F.col("first_seen") if "first_seen" in lines.columns else F.lit(None).cast("timestamp")
     last = F.struct(*LAST_SEEN_COLS, F.col("scan_id").alias("last_scan_id"), F.col("seen_at").alias("last_seen"),
                     F.col("merged_status").alias("seen_status"), "complete_through")
-    aggs = [F.max_by(last, "scan_id").alias("last"), F.min(F.coalesce(first, "seen_at")).alias("first_seen")]
+    old_point, old_count = (F.col("last_point"), F.col("price_points")) if "last_point" in lines.columns else (None, None)
+    fresh = F.when(is_price_point(), F.struct("seen_at", "obs_id", "unit_cents", "model", "family"))
+    point = fresh if old_point is None else F.coalesce(fresh, old_point)
+    count = is_price_point().cast("bigint")
+    count = count if old_count is None else F.coalesce(F.when(F.col("carried"), old_count), count)
+    aggs = [F.max_by(last, "scan_id").alias("last"), F.min(F.coalesce(first, "seen_at")).alias("first_seen"),
+            F.max_by(point, F.struct(point["seen_at"], point["obs_id"])).alias("last_point"), F.sum(count).alias("price_points")]
     if with_alerts:
         aggs.append(F.collect_list(alert_entry(lines)).alias("entries"))
     state = lines.groupBy(*KEY).agg(*aggs)
     if with_alerts:
-        state = state.withColumn("f", fold_entries(F.col("entries"))).select(*KEY, "first_seen", "last.*", "f.*")
+        state = state.withColumn("f", fold_entries(F.col("entries"))).select(*KEY, "first_seen", "last_point", "price_points", "last.*", "f.*")
     else:
-        state = state.select(*KEY, "first_seen", "last.*")
+        state = state.select(*KEY, "first_seen", "last_point", "price_points", "last.*")
     state = state.join(F.broadcast(totals), ["watch", "source"])
     run = F.col("total_complete") - F.col("complete_through")
     counts = F.col("seen_status").isin("active", "pending")

@@ -36,6 +36,16 @@ def market_points(history: DataFrame, state: DataFrame, as_of: Column, history_d
     return recent.join(current, KEY, "left_semi")
 
 
+def snapshot_points(state: DataFrame, as_of: Column, history_days: int = 30) -> DataFrame:
+    """``market_points`` out of a snapshot alone: it keeps each listing's latest price point beside its current row,
+    so neither the history nor a join is needed."""
+    point = F.col("last_point")
+    return state.where(
+        F.col("keep") & (F.col("quantity") == 1) & (F.size("suspicious") == 0) & (point["unit_cents"] != 0)
+        & (point["seen_at"] >= as_of - F.make_dt_interval(F.lit(history_days)))
+    ).select("watch", "source", "listing_id", "last_point.*")
+
+
 def market_table(points: DataFrame) -> DataFrame:
     """Medians by model and by family in one frame: (watch, level, name, median_cents, median_samples)."""
     levels = F.array(

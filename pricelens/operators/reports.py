@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -65,25 +65,23 @@ def listing_sort_any(rows: DataFrame, column: str, descending: bool = False) ->
     return rows.orderBy(key, "watch", "source", "listing_id")
 
 
-def _tally(rows: DataFrame, column: str) -> DataFrame:
-    """Per watch and overall: 'value:n' pairs in one text. Groups hold one row per distinct value."""
-    counts = rows.groupBy("watch", column).agg(F.count("*").alias("n"))
-    total = counts.groupBy(column).agg(F.sum("n").alias("n")).select(F.lit("").alias("watch"), column, "n")
-    pairs = F.sort_array(F.collect_list(F.concat_ws(":", F.col(column), F.col("n").cast("string"))))
-    return counts.unionByName(total).groupBy("watch").agg(F.array_join(pairs, "|").alias(f"by_{column}"))
+def watch_stats(state: DataFrame) -> DataFrame:
+    """Counters per watch, and over all watches under an empty name, in one pass over the snapshot."""
+    from pricelens.functions.listing import STATUS_RANK
 
+    def tally(column: str, values: list[str]) -> Column:
+        """'value:n' pairs of the values that occur, in one text."""
+        counts = [F.count_if(F.col(column) == v) for v in sorted(values)]
+        return F.concat_ws("|", *[F.when(n > 0, F.concat(F.lit(f"{v}:"), n.cast("string"))) for v, n in zip(sorted(values), counts)])
 
-def watch_stats(state: DataFrame, history: DataFrame) -> DataFrame:
-    """Counters per watch, and over all watches under an empty name. Totals come from the per-watch counts."""
-    base = state.groupBy("watch").agg(
+    return state.rollup("watch").agg(
         F.count("*").alias("listings"),
         F.count_if(F.col("keep") & (F.col("status") == "active")).alias("kept_active"),
         F.count_if(F.col("notify_count") > 0).alias("notified"),
-    ).join(history.groupBy("watch").agg(F.count("*").alias("price_points")), "watch", "left")
-    base = base.withColumn("price_points", F.coalesce("price_points", F.lit(0).cast("bigint")))
-    sums = [F.sum(c).alias(c) for c in ("listings", "kept_active", "notified", "price_points")]
-    both = base.unionByName(base.agg(*sums).withColumn("watch", F.lit("")))
-    return both.join(_tally(state, "status"), "watch", "left").join(_tally(state, "verdict"), "watch", "left")
+        F.sum("price_points").alias("price_points"),
+        tally("status", list(STATUS_RANK)).alias("by_status"),
+        tally("verdict", ["accept", "reject"]).alias("by_verdict"),
+    ).withColumn("watch", F.coalesce("watch", F.lit("")))
 
 
 def watch_overview(state: DataFrame, scans: DataFrame, watches: DataFrame, as_of) -> DataFrame:

@@ -14,7 +14,7 @@ from pricelens.plans import frames as fr
 def scored_listings(spark: SparkSession, sf: str, as_of: str = "2001-11-05", days: int = 400) -> DataFrame:
     timeline, scans = fr.lines(spark, sf), fr.scans(spark, sf)
     state = hi.snapshot(timeline, scans, False)
-    market = mk.market_table(mk.market_points(hi.price_history(timeline), state, F.lit(as_of).cast("timestamp"), days))
+    market = mk.market_table(mk.snapshot_points(state, F.lit(as_of).cast("timestamp"), days))
     rules = fr.watches(spark)
     judged = with_scam_flags(mk.attach_market(
         state.drop("suspicious").join(F.broadcast(rules), "watch").withColumn("secure_payment", F.lit(None).cast("boolean")),

@@ -11,7 +11,9 @@ from pricelens.operators.merging import merge_scan
 from pricelens.operators.profiles import PROFILES
 from pricelens.operators.scoring import score, with_prices
 from pricelens.plans.settings import WATCHES
-from pricelens.sources.observations import observation_log, scan_is_complete, source_name, table
+from pricelens.session import shared_folder
+from pricelens.sources.observations import observation_log, scan_is_complete, source_name, spread, table
+from pricelens.sources.sinks import sink_state
 
 
 def text(col: Column) -> Column:
@@ -53,5 +55,17 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     return hi.price_history(lines(spark, sf))
 
 
+def big(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process, dealt out over the cores."""
+    return spread(table(spark, sf, name))
+
+
+def stored_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot as reports read it: a written table, computed once however often a report uses it."""
+    path = shared_folder(spark, "state")
+    sink_state(state(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 def state(spark: SparkSession, sf: str, with_alerts: bool = True) -> DataFrame:
     return hi.snapshot(lines(spark, sf), scans(spark, sf), with_alerts)

@@ -270,7 +270,7 @@ BLOCK_QUERY = ["the", "la"]
   SELECT doc_id, hit IS NOT NULL AS found, CAST(coalesce(hit, 1) AS BIGINT) AS first_line,
     CAST(least(coalesce(stop - 1, n), n, coalesce(hit, 1) + 24) - coalesce(hit, 1) + 1 AS BIGINT) AS n_lines FROM e""")
 def topic_item_block(spark, sf):
-    docs = fr.table(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"), (F.col("doc_id") % 2).cast("int").alias("query_no"))
+    docs = fr.big(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"), (F.col("doc_id") % 2).cast("int").alias("query_no"))
     out = fo.item_block(docs, BLOCK_QUERY)
     first = F.when(F.col("found"), F.array_position(F.transform("lines", lambda x: F.when(F.col("query_no") == 0, fo.says_all(fo.normalize_text(x), "the")).otherwise(
         fo.says_all(fo.normalize_text(x), "la"))), True)).otherwise(1)
@@ -302,7 +302,7 @@ def price_parse(spark, sf):
 def local_time_parse(spark, sf):
     number = F.col("l_linenumber").cast("bigint")
     text = F.concat(F.date_format("l_shipdate", "dd-MM-yyyy"), F.lit(" à "), F.lpad((number + 5).cast("string"), 2, "0"), F.lit(":42"))
-    return fr.table(spark, sf, "lineitem").select("l_orderkey", number.alias("l_linenumber"), "l_partkey",
+    return fr.big(spark, sf, "lineitem").select("l_orderkey", number.alias("l_linenumber"), "l_partkey",
                                                   F.date_format(paris_time(text), "yyyy-MM-dd HH:mm:ss").alias("instant"))
 
 

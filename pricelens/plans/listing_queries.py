@@ -283,9 +283,16 @@ MARKET = ("SELECT watch, 'model' AS level, model AS name, median(unit_cents) AS
 
 def market_of(spark, sf):
     as_of = F.lit(AS_OF).cast("timestamp")
+    state = hi.snapshot(fr.lines(spark, sf), fr.scans(spark, sf), False)
+    return mk.market_table(mk.snapshot_points(state, as_of, DAYS))
+
+
+@query("market_median_history", compose("SELECT * FROM market", "latest", "state", extra={"points": POINTS, "market": MARKET}))
+def market_median_history(spark, sf):
+    """The same market from stored history and state tables."""
     timeline = fr.lines(spark, sf)
     state = hi.snapshot(timeline, fr.scans(spark, sf), False)
-    return mk.market_table(mk.market_points(hi.price_history(timeline), state, as_of, DAYS))
+    return mk.market_table(mk.market_points(hi.price_history(timeline), state, F.lit(AS_OF).cast("timestamp"), DAYS))
 
 
 @query("market_median", compose("SELECT * FROM market", "latest", "state", extra={"points": POINTS, "market": MARKET}))

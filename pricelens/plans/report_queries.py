@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pricelens.operators import alerts as al
 from pricelens.operators import config_frames as cf
 from pricelens.operators import health as he
-from pricelens.operators import history as hi
 from pricelens.operators import merging as mg
 from pricelens.operators import reports as rp
 from pricelens.operators import reviews as rv
@@ -60,7 +59,7 @@ def review_events(spark, sf):
 
 
 def reviewed_state(spark, sf):
-    return rv.with_reviews(fr.state(spark, sf), rv.review_overlay(review_events(spark, sf)))
+    return rv.with_reviews(fr.stored_state(spark, sf), rv.review_overlay(review_events(spark, sf)))
 
 
 def reviewed_lines(spark, sf):
@@ -170,9 +169,7 @@ def _tally_sql(col: str) -> str:
     f"{_tally_sql('status')} AS by_status, {_tally_sql('verdict')} AS by_verdict "
     f"FROM (SELECT DISTINCT watch FROM state UNION ALL SELECT '') w", "state", "history"))
 def watch_stats(spark, sf):
-    lines, scans = fr.lines(spark, sf), fr.scans(spark, sf)
-    state = hi.snapshot(lines, scans)
-    return rp.watch_stats(state, hi.price_history(lines))
+    return rp.watch_stats(fr.state(spark, sf))
 
 
 OVERVIEW_AS_OF = "2001-06-02"
@@ -234,7 +231,7 @@ def listing_search(spark, sf):
     "SELECT watch, source, listing_id, unit_cents, (SELECT count(*) FROM state WHERE watch <> 'PROMO') AS total FROM state "
     "WHERE watch <> 'PROMO' ORDER BY unit_cents NULLS FIRST, first_seen DESC, watch, source, listing_id LIMIT 1000", "state"))
 def listing_page(spark, sf):
-    rows = rp.listing_search(fr.state(spark, sf, with_alerts=False), status="", keep="").where(F.col("watch") != "PROMO")
+    rows = rp.listing_search(fr.stored_state(spark, sf), status="", keep="").where(F.col("watch") != "PROMO")
     return rp.listing_page(rows).select(*KEY, "unit_cents", "total")
 
 

@@ -22,7 +22,7 @@ NORM_SQL = r"""lower(trim(regexp_replace(replace(replace(replace(replace(replace
 
 @query("text_normalize", f"SELECT doc_id, {NORM_SQL.format('text')} AS norm FROM documents")
 def text_normalize(spark, sf):
-    return fr.table(spark, sf, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("norm"))
+    return fr.big(spark, sf, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("norm"))
 
 
 # Words that occur in the invented prose, in place of the marketplace vocabulary.
@@ -40,7 +40,7 @@ def _kw_sql(words: list[str]) -> str:
 @query("keyword_flags", "SELECT doc_id, " + ", ".join(f"regexp_matches(n, '{_kw_sql(w)}') AS {c}" for c, w in DOC_KEYWORDS.items())
        + f" FROM (SELECT doc_id, {NORM_SQL.format('text')} AS n FROM documents)")
 def keyword_flags(spark, sf):
-    norm = fr.table(spark, sf, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("n"))
+    norm = fr.big(spark, sf, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("n"))
     return norm.select("doc_id", *[tx.has_keyword(F.col("n"), words).alias(name) for name, words in DOC_KEYWORDS.items()])
 
 
@@ -53,7 +53,7 @@ NEGATED_WORDS = ["the", "la", "of", "en", "der", "ouch"]
       '(^|[^a-z0-9])(the|la|of|en|der|ouch)([^a-z0-9]|$)') AS affirmed
   FROM (SELECT doc_id, {NORM_SQL.format('line')} AS n FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS line FROM documents))""")
 def keyword_negation(spark, sf):
-    lines = fr.table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"\. ", -1)).alias("line"))
+    lines = fr.big(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"\. ", -1)).alias("line"))
     norm = lines.select("doc_id", tx.normalize_text(F.col("line")).alias("n"))
     return norm.select("doc_id", tx.has_keyword(F.col("n"), NEGATED_WORDS).alias("quoted"),
                        tx.find_affirmed_keyword(F.col("n"), NEGATED_WORDS).isNotNull().alias("affirmed"))
@@ -68,14 +68,14 @@ for _e, _c in _ENTITIES:
 
 @query("html_to_text", f"SELECT page_id, trim(regexp_replace({_html}, '[ \\t]+', ' ', 'g'), E' \\n\\t\\r') AS body FROM pages")
 def html_to_text(spark, sf):
-    return fr.table(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("body"))
+    return fr.big(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("body"))
 
 
 # ---------------------------------------------------------------- rendered titles
 
 def rendered(spark, sf, cases):
     """Line items with the title and description of their case; ``{q}`` becomes the quantity."""
-    line = fr.table(spark, sf, "lineitem").select(
+    line = fr.big(spark, sf, "lineitem").select(
         "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", F.col("l_quantity").cast("bigint").alias("q"))
     slot = ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % len(cases) + 1).cast("int")
     pick = {name: F.element_at(F.array(*[F.lit(c[i]) for c in cases]), slot) for i, name in enumerate(("title", "description"))}
@@ -139,7 +139,7 @@ DOC_CFG = {"require_any": ["the", "la", "der"], "reject": ["token"], "families":
   FROM (SELECT doc_id, n, CASE WHEN regexp_matches(n, '{_kw_sql(['une', 'les'])}') THEN 'fr' WHEN regexp_matches(n, '{_kw_sql(['und', 'nicht'])}') THEN 'de'
     WHEN regexp_matches(n, '{_kw_sql(['las', 'una'])}') THEN 'es' END AS fam FROM (SELECT doc_id, {NORM_SQL.format('text')} AS n FROM documents))""")
 def classify_keywords_documents(spark, sf):
-    docs = fr.table(spark, sf, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("description"),
+    docs = fr.big(spark, sf, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("description"),
                                                    F.lit("used").alias("condition_code"))
     return classify_keywords(docs, DOC_CFG).select("doc_id", "reason", "family")
 
@@ -188,7 +188,7 @@ def _pick(values, number):
 
 def references(spark, sf):
     """Titles with one Seagate and one WD reference written from the line item's numbers."""
-    df = fr.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey")
+    df = fr.big(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey")
     k, o = F.col("l_partkey"), F.col("l_orderkey")
     sep = _pick(["", " ", "-"], o)
     cap = (F.lit(4000) + k % 4 * 2000).cast("string")
@@ -244,7 +244,7 @@ def best_reference(spark, sf):
 
 
 def numbers(spark, sf):
-    return fr.table(spark, sf, "lineitem").select(
+    return fr.big(spark, sf, "lineitem").select(
         "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", F.col("l_quantity").cast("bigint").alias("q"),
         (F.col("l_partkey") % 12 + 1).alias("n"))
 

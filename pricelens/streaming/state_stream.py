@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricelens.operators import history as hi
-from pricelens.operators.market import market_points, market_table
+from pricelens.operators.market import market_table, snapshot_points
 from pricelens.operators.merging import merge_scan
 from pricelens.operators.scoring import score, with_prices
 
@@ -46,9 +46,8 @@ class StateStream:
         previous = spark.read.parquet(self.path("state", batch_id - 1)) if batch_id else None
         market = None
         if self.market_days is not None and batch_id:
-            history = spark.read.parquet(self.path("history")).where(F.col("v") < batch_id)
             as_of = rows.agg(F.min("scan_id").cast("timestamp")).scalar()
-            market = market_table(market_points(history, previous, as_of, self.market_days))
+            market = market_table(snapshot_points(previous, as_of, self.market_days))
         lines = hi.timeline(score(rows, self.watches, market), scans, previous, self.gone_after).persist()
         try:
             state = hi.snapshot(lines, scans, True, self.gone_after)
