@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -27,10 +28,13 @@ def build_session(app: str = "pricelens", cpus: int | str = "*", shuffle_partiti
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """Stand-in for single-machine runs, where no shared folder is named."""
+    return tempfile.mkdtemp(prefix="pricelens-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; a temporary one only when no cluster folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="pricelens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{base.rstrip('/')}/pricelens/{purpose}-{uuid.uuid4().hex}"
