@@ -12,6 +12,7 @@ from pricelens.plans import frames as fr
 
 
 def scored_listings(spark: SparkSession, sf: str, as_of: str = "2001-11-05", days: int = 400) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     timeline, scans = fr.lines(spark, sf), fr.scans(spark, sf)
     state = hi.snapshot(timeline, scans, False)
     market = mk.market_table(mk.snapshot_points(state, F.lit(as_of).cast("timestamp"), days))
