@@ -34,7 +34,18 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="pricelens-")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names. One of our own only on a single machine, never on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only when no cluster folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/pricelens/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared one."""
+    return f"{checkpoint_folder(spark)}/pricelens/{purpose}-{uuid.uuid4().hex}"
