@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelens.llm.common import remainder
+from pricelens.llm.language import identify
+from pricelens.llm.nearest import nearest
+from pricelens.llm.quality import quality
 from pricelens.llm.simhash import near_duplicates
 from pricelens.sources.observations import table
 
@@ -26,5 +30,37 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_listings(spark, sf_dir)).withColumnRenamed("obs_id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates,)}
-ORACLE: dict[str, str] = {}
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("obs_id"), "embedding")
+    return nearest(vectors, vectors.where("obs_id % 50 = 0")).withColumnRenamed("obs_id", "vec_id")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("obs_id")) == 0
+    reviews = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("obs_id"), F.col("quality").alias("keep"))
+    return quality(read_listings(spark, sf_dir), reviews, ~held_out).select(
+        F.col("obs_id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("obs_id")) == 0
+    return identify(read_listings(spark, sf_dir), ~held_out).select(
+        F.col("obs_id").alias("doc_id"), held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op3_nearest_vectors, op5_quality, op10_language)}
+ORACLE: dict[str, str] = {
+    "op3_nearest_vectors": """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.n * c.n) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 50 = 0 AND q.n > 0 AND c.n > 0 AND isfinite(q.n) AND isfinite(c.n)
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+WHERE rank <= 5
+""",
+}
