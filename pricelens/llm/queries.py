@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import remainder
+from pricelens.llm.common import cut, remainder
+from pricelens.llm.decontamination import contamination
 from pricelens.llm.language import identify
 from pricelens.llm.nearest import nearest
 from pricelens.llm.quality import quality
+from pricelens.llm.secrets import BASE, find_secrets, scan, written
 from pricelens.llm.simhash import near_duplicates
 from pricelens.sources.observations import table
 
@@ -42,13 +44,28 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("obs_id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_listings(spark, sf_dir)
+    scanned = cut(scan(rows.select("obs_id", F.coalesce("description", F.lit("")).alias("description")), "description"))
+    return find_secrets(rows, scanned).select(
+        F.col("obs_id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
+        F.sha2(written(F.col("spans"), len(BASE)), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return contamination(read_listings(spark, sf_dir), items).select(
+        F.col("obs_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("obs_id")) == 0
     return identify(read_listings(spark, sf_dir), ~held_out).select(
         F.col("obs_id").alias("doc_id"), held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op3_nearest_vectors, op5_quality, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op3_nearest_vectors, op5_quality, op8_secrets, op9_contamination, op10_language)}
 ORACLE: dict[str, str] = {
     "op3_nearest_vectors": """
 WITH v AS (
