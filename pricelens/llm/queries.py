@@ -11,9 +11,12 @@ from pricelens.llm.common import cut, remainder
 from pricelens.llm.decontamination import contamination
 from pricelens.llm.language import identify
 from pricelens.llm.nearest import nearest
+from pricelens.llm.packing import pack
 from pricelens.llm.quality import quality
 from pricelens.llm.secrets import BASE, find_secrets, scan, written
 from pricelens.llm.simhash import near_duplicates
+from pricelens.llm.token_counts import token_counts, write_tokens
+from pricelens.session import shared_folder
 from pricelens.sources.observations import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +40,20 @@ def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("obs_id % 50 = 0")).withColumnRenamed("obs_id", "vec_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, counted in flat files of all documents; a file's number and place give the doc_id back."""
+    rows = read_listings(spark, sf_dir)
+    folder = shared_folder(spark, "tokens")
+    write_tokens(rows, folder)
+    place = F.monotonically_increasing_id()  # partition and place in it, as the files were written from the same scan
+    keys = rows.select("obs_id", F.shiftright(place, 33).alias("number"), place.bitwiseAND((1 << 33) - 1).alias("document"))
+    counts = token_counts(spark, folder).withColumn("number", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long"))
+    found = cut(keys.join(counts, ["number", "document"]).select(F.col("obs_id").alias("doc_id"), "n_tokens"))
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files.getFileSystem(spark._jsc.hadoopConfiguration()).delete(files, True)
+    return found
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("obs_id")) == 0
     reviews = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("obs_id"), F.col("quality").alias("keep"))
@@ -44,6 +61,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("obs_id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_listings(spark, sf_dir)).drop("ids").withColumnRenamed("obs_id", "doc_id")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_listings(spark, sf_dir)
     scanned = cut(scan(rows.select("obs_id", F.coalesce("description", F.lit("")).alias("description")), "description"))
@@ -65,7 +86,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("obs_id").alias("doc_id"), held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op3_nearest_vectors, op5_quality, op8_secrets, op9_contamination, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op3_nearest_vectors, op4_token_counts, op5_quality, op6_packing, op8_secrets, op9_contamination, op10_language)}
 ORACLE: dict[str, str] = {
     "op3_nearest_vectors": """
 WITH v AS (
