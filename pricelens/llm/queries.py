@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pricelens.llm.common import cut, remainder
 from pricelens.llm.decontamination import contamination
 from pricelens.llm.language import identify
+from pricelens.llm.language_model import score
 from pricelens.llm.nearest import nearest
 from pricelens.llm.packing import pack
 from pricelens.llm.quality import quality
@@ -35,6 +36,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_listings(spark, sf_dir)).withColumnRenamed("obs_id", "doc_id")
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("obs_id")) == 1
+    return score(read_listings(spark, sf_dir), ~held_out).withColumn("held_out", held_out).withColumnRenamed("obs_id", "doc_id")
+
+
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("obs_id"), "embedding")
     return nearest(vectors, vectors.where("obs_id % 50 = 0")).withColumnRenamed("obs_id", "vec_id")
@@ -86,7 +92,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("obs_id").alias("doc_id"), held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op3_nearest_vectors, op4_token_counts, op5_quality, op6_packing, op8_secrets, op9_contamination, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op2_language_model, op3_nearest_vectors, op4_token_counts, op5_quality, op6_packing, op8_secrets, op9_contamination, op10_language)}
 ORACLE: dict[str, str] = {
     "op3_nearest_vectors": """
 WITH v AS (
