@@ -14,6 +14,7 @@ from pricelens.llm.language_model import score
 from pricelens.llm.nearest import nearest
 from pricelens.llm.packing import pack
 from pricelens.llm.quality import quality
+from pricelens.llm.repeats import remove_repeats
 from pricelens.llm.secrets import BASE, find_secrets, scan, written
 from pricelens.llm.simhash import near_duplicates
 from pricelens.llm.token_counts import token_counts, write_tokens
@@ -71,6 +72,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_listings(spark, sf_dir)).drop("ids").withColumnRenamed("obs_id", "doc_id")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_listings(spark, sf_dir)).select(
+        F.col("obs_id").alias("doc_id"), "n_words", "n_removed", F.sha2("description", 256).alias("kept_sha256"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_listings(spark, sf_dir)
     scanned = cut(scan(rows.select("obs_id", F.coalesce("description", F.lit("")).alias("description")), "description"))
@@ -92,7 +98,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("obs_id").alias("doc_id"), held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op2_language_model, op3_nearest_vectors, op4_token_counts, op5_quality, op6_packing, op8_secrets, op9_contamination, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op2_language_model, op3_nearest_vectors, op4_token_counts, op5_quality, op6_packing, op7_repeats, op8_secrets, op9_contamination, op10_language)}
 ORACLE: dict[str, str] = {
     "op3_nearest_vectors": """
 WITH v AS (
