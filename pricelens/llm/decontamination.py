@@ -139,3 +139,12 @@ def contamination(listings: DataFrame, items: DataFrame, key: str = "obs_id", te
         F.col("id").alias(key), "v", "n_words", n_hit.alias("n_hit"),
         F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("item_ids"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean(listings: DataFrame, items: DataFrame, key: str = "obs_id", text: str = "description", item_key: str = "item_id",
+          item_text: str = "text") -> DataFrame:
+    """``listings`` without the contaminated ones; rows and columns are as they were."""
+    found = contamination(listings, items, key, text, item_key, item_text).where("contaminated").select(F.col(key).alias("hit_id"), F.col("v").alias("hit_v")).distinct()
+    rows = listings.select(F.struct("*").alias("row"), F.col(key).alias("id"), version(F.col(text)).alias("w"))
+    return rows.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("w") == F.col("hit_v")), "left_anti").select(
+        *[F.col(f"row.`{c}`").alias(c) for c in listings.columns])

@@ -8,13 +8,13 @@ texts that are in none of the languages.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import text_bytes
@@ -112,6 +112,31 @@ def train(training: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return idf, np.array([r["centroid"] for r in rows], dtype=np.float32).reshape(-1, DIMENSIONS), [r["language"] for r in rows]
 
 
+def _judge(spark: SparkSession, idf: np.ndarray, centroids: np.ndarray, names: list[str]) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Language and score of a column of texts."""
+    model = spark.sparkContext.broadcast((idf, centroids))
+
+    def judge(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        weights, nearest = model.value
+        texts = [b.decode() for b in text_bytes(column)]
+        found = np.full(len(texts), "und", dtype=object)
+        score = np.zeros(len(texts))
+        some = np.array([i for i, t in enumerate(texts) if len(nearest) and LETTER.search(t)], dtype=np.int64)
+        for at in range(0, len(some), ROWS):
+            rows = some[at:at + ROWS]
+            close = _vectors([texts[i] for i in rows], weights) @ nearest.T
+            found[rows] = [names[c] for c in close.argmax(axis=1)]
+            score[rows] = close.max(axis=1).clip(0, 1)
+        return found, score
+
+    return judge
+
+
+def _learned(listings: DataFrame, learn: Column, key: str, text: str, language: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    rows = listings.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(language).alias("language"), learn.alias("learn"))
+    return train(rows.where(F.col("learn") & F.col("language").isNotNull()).select("id", "text", "language"))
+
+
 def identify(listings: DataFrame, learn: Column, key: str = "obs_id", text: str = "description", language: str = "language",
              least_score: float = LEAST_SCORE) -> DataFrame:
     """(key, language, score, accepted): one row per listing; the model is learned from rows where ``learn`` holds and
@@ -123,24 +148,27 @@ def identify(listings: DataFrame, learn: Column, key: str = "obs_id", text: str
     Repeated rows give repeated results. Other columns are ignored.
     """
     kind = listings.schema[key].dataType.simpleString()
-    rows = listings.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(language).alias("language"), learn.alias("learn"))
-    idf, centroids, names = train(rows.where(F.col("learn") & F.col("language").isNotNull()).select("id", "text", "language"))
-    model = listings.sparkSession.sparkContext.broadcast((idf, centroids))
+    judge = _judge(listings.sparkSession, *_learned(listings, learn, key, text, language))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, nearest = model.value
         for batch in batches:
-            texts = [b.decode() for b in text_bytes(batch.column(1))]
-            found = np.full(len(texts), "und", dtype=object)
-            score = np.zeros(len(texts))
-            some = np.array([i for i, t in enumerate(texts) if len(nearest) and LETTER.search(t)], dtype=np.int64)
-            for at in range(0, len(some), ROWS):
-                rows = some[at:at + ROWS]
-                close = _vectors([texts[i] for i in rows], weights) @ nearest.T
-                found[rows] = [names[c] for c in close.argmax(axis=1)]
-                score[rows] = close.max(axis=1).clip(0, 1)
+            found, score = judge(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.tolist(), pa.string()), pa.array(score)], names=["id", "language", "score"])
 
-    return rows.select("id", "text").mapInArrow(each, f"id {kind}, language string, score double").select(
+    return listings.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(each, f"id {kind}, language string, score double").select(
         F.col("id").alias(key), F.col("language").alias(language), "score",
         ((F.col("language") != "und") & (F.col("score") >= least_score)).alias("accepted"))
+
+
+def in_known_language(listings: DataFrame, learn: Column, key: str = "obs_id", text: str = "description", language: str = "language",
+                      least_score: float = LEAST_SCORE) -> DataFrame:
+    """``listings`` without those that ``identify`` does not accept; rows and columns are as they were."""
+    judge = _judge(listings.sparkSession, *_learned(listings, learn, key, text, language))
+    place = listings.columns.index(text)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, score = judge(batch.column(place))
+            yield batch.filter(pa.array((found != "und") & (score >= least_score)))
+
+    return listings.mapInArrow(each, listings.schema)

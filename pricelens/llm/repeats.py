@@ -61,8 +61,10 @@ def _sent(ids: pa.Array, versions: pa.Array, key: np.ndarray, more: np.ndarray,
     spreads them, one row of places per text for those."""
     order = np.lexsort((more, key))
     k, m = key[order], more[order]
-    same = np.r_[False, (k[1:] == k[:-1]) & (m[1:] == m[:-1])]
-    again = same | np.r_[same[1:], False]
+    same, again = np.zeros(len(k), dtype=bool), np.zeros(len(k), dtype=bool)
+    same[1:] = (k[1:] == k[:-1]) & (m[1:] == m[:-1])
+    again[:-1] = same[1:]
+    again |= same
     once, heads, known = order[~again], order[again & ~same], order[again]
     known = known[np.lexsort((place[known], text[known]))]
     starts = np.flatnonzero(np.r_[True, text[known][1:] != text[known][:-1]]) if len(known) else np.zeros(0, np.int64)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import components, cut, runs, text_bytes
+from pricelens.llm.common import components, cut, runs, text_bytes, version
 
 SEED = 42
 #: Keys with more fingerprints than this are cut into chunks.
@@ -56,16 +56,17 @@ def simhash(text: bytes, words_per_shingle: int = 4) -> int:
 
 
 def fingerprints(listings: DataFrame, key: str = "obs_id", text: str = "description") -> DataFrame:
-    """(key, bits): one row per input row. A null text counts as empty; whole texts are read. Words are lowered in A-Z,
+    """(key, v, bits): one row per input row, v telling texts of one key apart. A null text counts as empty; whole texts are read. Words are lowered in A-Z,
     four of them make a shingle; a shorter text is one shingle."""
     kind = listings.schema[key].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([simhash(b) for b in text_bytes(batch.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["key", "bits"])
+            bits = np.array([simhash(b) for b in text_bytes(batch.column(2))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], names=["key", "v", "bits"])
 
-    return listings.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(each, f"key {kind}, bits long")
+    return listings.select(F.col(key).alias("key"), version(F.col(text)).alias("v"), F.col(text).alias("text")).mapInArrow(
+        each, f"key {kind}, v int, bits long")
 
 
 def _masks(radius: int) -> list[int]:
@@ -146,6 +147,13 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return groups.repartition("group").sortWithinPartitions("group").mapInArrow(each, "a long, b long")
 
 
+def _groups(marked: DataFrame, radius: int) -> DataFrame:
+    """(bits, root): every fingerprint of ``marked`` with that of its component."""
+    distinct = marked.select("bits").distinct()
+    roots = components(links(distinct, radius))
+    return distinct.join(roots, F.col("bits") == F.col("node"), "left").select("bits", F.coalesce("root", "bits").alias("root"))
+
+
 def near_duplicates(listings: DataFrame, key: str = "obs_id", text: str = "description", radius: int = 4) -> DataFrame:
     """(key, fingerprint, component_id): one row per listing, with the smallest key that links lead to.
 
@@ -155,11 +163,22 @@ def near_duplicates(listings: DataFrame, key: str = "obs_id", text: str = "descr
     An empty table gives an empty result. Other columns are ignored.
     """
     marked = cut(fingerprints(listings, key, text))
-    roots = components(links(marked.select("bits").distinct(), radius))
-    first = (marked.groupBy("bits").agg(F.min("key").alias("first"))
-             .join(roots, F.col("bits") == F.col("node"), "left")
-             .select("bits", "first", F.coalesce("root", "bits").alias("root")))
-    smallest = cut(first.groupBy("root").agg(F.min("first").alias("component_id"))
-                   .join(first.select("bits", "root"), "root").select("bits", "component_id"))
+    groups = _groups(marked, radius)
+    smallest = (marked.groupBy("bits").agg(F.min("key").alias("first")).join(groups, "bits").select("bits", "first", "root"))
+    smallest = cut(smallest.groupBy("root").agg(F.min("first").alias("component_id"))
+                   .join(smallest.select("bits", "root"), "root").select("bits", "component_id"))
     return marked.join(smallest, "bits").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(listings: DataFrame, key: str = "obs_id", text: str = "description", radius: int = 4) -> DataFrame:
+    """``listings`` with one row of each near-duplicate group: that of the smallest key, of several with one key any text's.
+
+    Rows and columns are as they were. A row with a null key stays only if its group has no other key.
+    """
+    marked = cut(fingerprints(listings, key, text))
+    first = (marked.join(_groups(marked, radius), "bits").groupBy("root")
+             .agg(F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "v")).alias("first")).select("first.key", "first.v"))
+    rows = listings.select(F.struct("*").alias("row"), F.col(key).alias("k"), version(F.col(text)).alias("w"))
+    kept = rows.join(first, F.col("k").eqNullSafe(F.col("key")) & (F.col("w") == F.col("v")), "left_semi").dropDuplicates(["k", "w"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in listings.columns])
