@@ -16,16 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import runs, text_bytes, version
+from pricelens.llm.common import runs, text_bytes
 
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Listings of a batch.
 BATCH = 1024
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-PLACES = "id {kind}, v int, at int, marks binary"
+#: In the shuffles a text is the hash of its key and itself; a run is its hash (96 bits) and, in the lowest half of tail, its place.
+SENT, PLACES = "key long, tail long, text long, marks binary", "text long, at int, marks binary"
+NOWHERE = 0xFFFFFFFF
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -56,49 +58,48 @@ def _flat(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.concatenate([_word_hashes(w) for w in words]) if words else np.zeros(0, np.uint64), text, place, sizes[text]
 
 
-def _sent(ids: pa.Array, versions: pa.Array, key: np.ndarray, more: np.ndarray, text: np.ndarray, place: np.ndarray, first: int) -> pa.RecordBatch:
+def _sent(names: np.ndarray, key: np.ndarray, more: np.ndarray, text: np.ndarray, place: np.ndarray, first: int) -> pa.RecordBatch:
     """Rows for the shuffle: places of runs met once; one row without a place for a run met several times; and, under a key that
     spreads them, one row of places per text for those."""
+    more = more & np.uint64(0xFFFFFFFF)
     order = np.lexsort((more, key))
     k, m = key[order], more[order]
     same, again = np.zeros(len(k), dtype=bool), np.zeros(len(k), dtype=bool)
     same[1:] = (k[1:] == k[:-1]) & (m[1:] == m[:-1])
     again[:-1] = same[1:]
     again |= same
-    once, heads, known = order[~again], order[again & ~same], order[again]
-    known = known[np.lexsort((place[known], text[known]))]
-    starts = np.flatnonzero(np.r_[True, text[known][1:] != text[known][:-1]]) if len(known) else np.zeros(0, np.int64)
+    once, heads, known = np.sort(order[~again]), order[again & ~same], np.sort(order[again])  # in order of the text, which packs well
+    starts = np.flatnonzero(np.diff(text[known], prepend=-1))
     marks = [p.astype("<i4").tobytes() for p in np.split(place[known], starts[1:])] if len(known) else []
-    spread = (np.arange(first, first + len(starts), dtype=np.uint64) * np.uint64(ODD[0])) ^ (key[known[starts]] if len(starts) else np.zeros(0, np.uint64))
-    rows = np.r_[text[once], text[known[starts]] if len(starts) else np.zeros(0, np.int64)]
-    nothing = pa.nulls(len(heads), ids.type)
-    take = pa.array(rows)
-    key_all = np.r_[key[once], spread, key[heads]].view(np.int64)
-    more_all = np.r_[more[once], spread, more[heads]].view(np.int64)
-    at = pa.array(np.r_[place[once], np.zeros(len(starts), np.int64), np.full(len(heads), -1)], pa.int32())
+    spread = (np.arange(first, first + len(starts), dtype=np.uint64) * np.uint64(ODD[0])) ^ names[text[known[starts]]].view(np.uint64)
+    tail = (more << np.uint64(32)) | place.astype(np.uint64)
     return pa.RecordBatch.from_arrays([
-        pa.array(key_all), pa.array(more_all), pa.concat_arrays([ids.take(take), nothing]),
-        pa.concat_arrays([versions.take(take), pa.nulls(len(heads), versions.type)]), at,
-        pa.array([None] * len(once) + marks + [None] * len(heads), pa.binary())], names=["key", "more", "id", "v", "at", "marks"])
+        pa.array(np.concatenate((key[once], spread, key[heads])).view(np.int64)),
+        pa.array(np.concatenate((tail[once], np.zeros(len(starts), np.uint64), tail[heads] | np.uint64(NOWHERE))).view(np.int64)),
+        pa.array(np.concatenate((names[text[once]], names[text[known[starts]]], np.zeros(len(heads), np.int64)))),
+        pa.array([None] * len(once) + marks + [None] * len(heads), pa.binary())], names=["key", "tail", "text", "marks"])
 
 
 def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places of runs that occur more than once; rows of places known to be such pass."""
     for part in runs(batches, "key"):
-        key, more, at = (part.column(c).to_numpy() for c in ("key", "more", "at"))
+        key, tail = part.column("key").to_numpy(), part.column("tail").to_numpy().view(np.uint64)
+        more, at = tail >> np.uint64(32), tail & np.uint64(NOWHERE)
         known = part["marks"].is_valid().to_numpy()
         order = np.flatnonzero(~known)
         order = order[np.lexsort((more[order], key[order]))]
-        k, m, alone = key[order], more[order], at[order] < 0
-        start = np.r_[True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])][:len(k)]
+        k, m, placed = key[order], more[order], at[order] != NOWHERE
+        start = np.ones(len(k), dtype=bool)
+        start[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
         group = np.cumsum(start) - 1
-        twice = (np.bincount(group) > 1) | (np.bincount(group, weights=alone) > 0) if len(k) else np.zeros(0, bool)
-        found = order[twice[group] & ~alone] if len(k) else order
-        yield from part.take(np.r_[found, np.flatnonzero(known)]).select(["id", "v", "at", "marks"]).combine_chunks().to_batches()
+        twice = (np.bincount(group) > 1) | (np.bincount(group, weights=~placed) > 0)
+        rows = np.concatenate((order[twice[group] & placed], np.flatnonzero(known)))
+        found = part.take(rows)
+        yield from pa.table({"text": found["text"], "at": pa.array(at[rows].astype(np.int32)), "marks": found["marks"]}).combine_chunks().to_batches()
 
 
 def _places(at: list[int], marks: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.array(at, dtype=np.int64), *[np.frombuffer(b, dtype="<i4") for b in marks]]).astype(np.int64)
+    return np.concatenate([np.array(at or [], dtype=np.int64), *[np.frombuffer(b, dtype="<i4") for b in marks or []]]).astype(np.int64)
 
 
 def _covered(places: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
@@ -123,62 +124,61 @@ def remove_repeats(listings: DataFrame, key: str = "obs_id", text: str = "descri
     kind = listings.schema[key].dataType.simpleString()
     anchor = window - PERIOD + 1
     cover = np.isin(np.arange(PERIOD), COVER)
-    columns = f"key long, more long, {PLACES.format(kind=kind)}"
-    texts = listings.select(F.col(key).alias("id"), version(F.col(text)).alias("v"), F.col(text).alias("text"))
+    rows = listings.select(F.col(key).alias("id"), F.col(text).alias("body"), F.xxhash64(key, text).alias("text"))
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = text_bytes(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pa.compress(b, codec="zstd", asbytes=True) for b in bodies], pa.binary()),
+                                              pa.array([len(b) for b in bodies], pa.int64()), batch.column(2)], names=["id", "body", "size", "text"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         first = 0
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                h, of, place, size = _flat([w if len(w := b.split()) >= window else [] for b in text_bytes(part.column(2))])
-                some = np.flatnonzero(cover[place % PERIOD] & (place + anchor <= size))
-                key_ = run_hashes(h, anchor, ODD[0])[some]
-                yield _sent(part.column(0), part.column(1), key_, np.zeros_like(key_), of[some], place[some], first)
+                yield first, batch.slice(at, BATCH)
                 first += BATCH
 
+    def unpacked(part: pa.RecordBatch) -> list[list[bytes]]:
+        return [pa.decompress(b.as_buffer(), n.as_py(), codec="zstd", asbytes=True).split() if n.as_py() else [] for b, n in zip(part.column("body"), part.column("size"))]
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, part in parts(batches):
+            h, of, place, size = _flat([w if len(w := b.split()) >= window else [] for b in text_bytes(part.column(1))])
+            some = np.flatnonzero(cover[place % PERIOD] & (place + anchor <= size))
+            hashes = run_hashes(h, anchor, ODD[0])[some]
+            yield _sent(part.column(2).to_numpy(), hashes, np.zeros_like(hashes), of[some], place[some], first)
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH)
-                words = [b.split() for b in text_bytes(part.column(2))]
-                h, of, place, size = _flat(words)
-                near = np.concatenate([_covered(_places(at, marks), window - anchor, 1, len(w)) for w, at, marks in
-                                       zip(words, part.column(3).to_pylist(), part.column(4).to_pylist())])
-                some = np.flatnonzero(near & (place + window <= size))
-                keys = [run_hashes(h, window, odd)[some] for odd in ODD]
-                yield _sent(part.column(0), part.column(1), *keys, of[some], place[some], first)
-                first += BATCH
+        for first, part in parts(batches):
+            words = unpacked(part)
+            h, of, place, size = _flat(words)
+            near = np.concatenate([_covered(_places(at, marks), window - anchor, 1, len(w)) for w, at, marks in
+                                   zip(words, part.column("at").to_pylist(), part.column("marks").to_pylist())])
+            some = np.flatnonzero(near & (place + window <= size))
+            yield _sent(part.column("text").to_numpy(), *[run_hashes(h, window, odd)[some] for odd in ODD], of[some], place[some], first)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH)
-                rows = []
-                for b, at, marks in zip(text_bytes(part.column(2)), part.column(3).to_pylist(), part.column(4).to_pylist()):
-                    words = b.split()
-                    n, gone = len(words), 0
-                    if at or marks:
-                        cut_ = _covered(_places(at or [], marks or []), 0, window, n)
-                        gone = int(cut_.sum())
-                        words = [words[i] for i in np.flatnonzero(~cut_)]
-                    rows.append((n, gone, b" ".join(words)))
-                n, gone, kept = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                                                 names=["id", "n_words", "n_removed", "text"])
+        for _, part in parts(batches):
+            found = []
+            for words, at, marks in zip(unpacked(part), part.column("at").to_pylist(), part.column("marks").to_pylist()):
+                n, gone = len(words), 0
+                if at or marks:
+                    repeat = _covered(_places(at, marks), 0, window, n)
+                    gone = int(repeat.sum())
+                    words = [words[i] for i in np.flatnonzero(~repeat)]
+                found.append((n, gone, b" ".join(words)))
+            n, gone, kept = zip(*found)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                                             names=["id", "n_words", "n_removed", "body"])
 
     def again(sent: DataFrame) -> DataFrame:
         """Per text: places of runs that occur more than once."""
-        met = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_met_again, PLACES.format(kind=kind))
-        return met.groupBy(F.col("id").alias("own"), F.col("v").alias("own_v")).agg(
-            F.collect_list(F.when(F.col("marks").isNull(), F.col("at"))).alias("at"), F.collect_list("marks").alias("marks"))
-
-    def with_places(places: DataFrame, how: str) -> DataFrame:
-        same: Column = F.col("id").eqNullSafe(F.col("own")) & (F.col("v") == F.col("own_v"))
-        return texts.join(places, same, how).select("id", "v", "text", "at", "marks")
-
-    near = with_places(again(texts.mapInArrow(anchors, columns)), "inner")
-    repeats = again(near.mapInArrow(windows, columns))
-    return with_places(repeats, "left").mapInArrow(removed, f"id {kind}, n_words long, n_removed long, text string").withColumnsRenamed(
-        {"id": key, "text": text})
+        met = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_met_again, PLACES)
+        return met.groupBy("text").agg(F.collect_list(F.when(F.col("marks").isNull(), F.col("at"))).alias("at"), F.collect_list("marks").alias("marks"))
+
+    texts = rows.mapInArrow(packed, f"id {kind}, body binary, size long, text long")
+    near = texts.join(again(rows.mapInArrow(anchors, SENT)), "text")
+    repeats = again(near.mapInArrow(windows, SENT))
+    return texts.join(repeats, "text", "left").mapInArrow(removed, f"id {kind}, n_words long, n_removed long, body string").withColumnsRenamed(
+        {"id": key, "body": text})
