@@ -126,12 +126,6 @@ def remove_repeats(listings: DataFrame, key: str = "obs_id", text: str = "descri
     cover = np.isin(np.arange(PERIOD), COVER)
     rows = listings.select(F.col(key).alias("id"), F.col(text).alias("body"), F.xxhash64(key, text).alias("text"))
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = text_bytes(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pa.compress(b, codec="zstd", asbytes=True) for b in bodies], pa.binary()),
-                                              pa.array([len(b) for b in bodies], pa.int64()), batch.column(2)], names=["id", "body", "size", "text"])
-
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         first = 0
         for batch in batches:
@@ -139,19 +133,19 @@ def remove_repeats(listings: DataFrame, key: str = "obs_id", text: str = "descri
                 yield first, batch.slice(at, BATCH)
                 first += BATCH
 
-    def unpacked(part: pa.RecordBatch) -> list[list[bytes]]:
-        return [pa.decompress(b.as_buffer(), n.as_py(), codec="zstd", asbytes=True).split() if n.as_py() else [] for b, n in zip(part.column("body"), part.column("size"))]
+    def split(part: pa.RecordBatch) -> list[list[bytes]]:
+        return [b.split() for b in text_bytes(part.column("body"))]
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, part in parts(batches):
-            h, of, place, size = _flat([w if len(w := b.split()) >= window else [] for b in text_bytes(part.column(1))])
+            h, of, place, size = _flat([w if len(w) >= window else [] for w in split(part)])
             some = np.flatnonzero(cover[place % PERIOD] & (place + anchor <= size))
             hashes = run_hashes(h, anchor, ODD[0])[some]
-            yield _sent(part.column(2).to_numpy(), hashes, np.zeros_like(hashes), of[some], place[some], first)
+            yield _sent(part.column("text").to_numpy(), hashes, np.zeros_like(hashes), of[some], place[some], first)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, part in parts(batches):
-            words = unpacked(part)
+            words = split(part)
             h, of, place, size = _flat(words)
             near = np.concatenate([_covered(_places(at, marks), window - anchor, 1, len(w)) for w, at, marks in
                                    zip(words, part.column("at").to_pylist(), part.column("marks").to_pylist())])
@@ -161,7 +155,7 @@ def remove_repeats(listings: DataFrame, key: str = "obs_id", text: str = "descri
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in parts(batches):
             found = []
-            for words, at, marks in zip(unpacked(part), part.column("at").to_pylist(), part.column("marks").to_pylist()):
+            for words, at, marks in zip(split(part), part.column("at").to_pylist(), part.column("marks").to_pylist()):
                 n, gone = len(words), 0
                 if at or marks:
                     repeat = _covered(_places(at, marks), 0, window, n)
@@ -177,8 +171,7 @@ def remove_repeats(listings: DataFrame, key: str = "obs_id", text: str = "descri
         met = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_met_again, PLACES)
         return met.groupBy("text").agg(F.collect_list(F.when(F.col("marks").isNull(), F.col("at"))).alias("at"), F.collect_list("marks").alias("marks"))
 
-    texts = rows.mapInArrow(packed, f"id {kind}, body binary, size long, text long")
-    near = texts.join(again(rows.mapInArrow(anchors, SENT)), "text")
+    near = rows.join(again(rows.mapInArrow(anchors, SENT)), "text")
     repeats = again(near.mapInArrow(windows, SENT))
-    return texts.join(repeats, "text", "left").mapInArrow(removed, f"id {kind}, n_words long, n_removed long, body string").withColumnsRenamed(
+    return rows.join(repeats, "text", "left").mapInArrow(removed, f"id {kind}, n_words long, n_removed long, body string").withColumnsRenamed(
         {"id": key, "body": text})
