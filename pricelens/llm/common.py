@@ -65,15 +65,17 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link: root is the same for all nodes that links connect.
 
-    ``links`` has long columns a and b. Each round merges every node into the smallest of its neighbourhood and keeps
-    the links between what remains, so the graph shrinks by a constant factor. Nothing is gathered in one place.
+    ``links`` has long columns a and b. Each round merges every node into the first of its neighbourhood in the order of a
+    hash and keeps the links between what remains, so that chains, too, shrink by a constant factor a round. Nothing is
+    gathered in one place.
     """
+    order = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("root"))
     links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     spark, roots = links.sparkSession, None
     links = cut(links)
     while not links.isEmpty():
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
+        step = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least(order("a"), order("b"))).alias("first")).select("node", "first.root"))
         to = lambda side: step.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
         links = cut(links.join(to("a"), "a").join(to("b"), "b").where("a_root <> b_root")
                     .select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
