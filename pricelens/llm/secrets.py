@@ -42,6 +42,10 @@ def _spans(text: Column, matches: Column, pattern: str, kept: Column) -> Column:
         F.array().cast("array<struct<start:int,end:int>>"))
 
 
+def _long(matches: Column, least: int) -> Column:
+    return F.transform(matches, lambda m: F.length(m) >= least)
+
+
 def scan(listings: DataFrame, text: str) -> DataFrame:
     """``listings`` with assign, access, hex (spans of the base patterns) and tokens (runs of token characters that no base
     span touches: start, end, token). Null texts count as empty."""
@@ -53,7 +57,7 @@ def scan(listings: DataFrame, text: str) -> DataFrame:
     spans = {}
     for kind, (pattern, least, group) in BASE.items():
         measured = F.col("_values" if group else f"_{kind}")
-        spans[kind] = _spans(body, F.col(f"_{kind}"), pattern, F.transform(measured, lambda m, least=least: F.length(m) >= least))
+        spans[kind] = _spans(body, F.col(f"_{kind}"), pattern, _long(measured, least))
     every = _spans(body, F.col("_tokens"), TOKEN, F.transform("_tokens", lambda m: F.lit(True)))
     df = df.select(*keep, "_tokens", *[s.alias(k) for k, s in spans.items()], every.alias("_at"))
     touched = lambda s: F.exists(F.concat(*map(F.col, BASE)), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))

@@ -60,14 +60,14 @@ def token_counts(spark: SparkSession, folder: str, width: int = WIDTH, end: int
               .mapInArrow(each, "file string, block long, size long, ends array<long>, last boolean"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scanned = blocks.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn(
-        "latest", F.col("base") + F.element_at("ends", -1) + 1)
+        "latest", F.col("base") + F.get("ends", F.size("ends") - 1) + 1)
     scanned = scanned.select("file", "base", "ends", "last", "size",
                              F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("number"),
                              F.coalesce(F.max("latest").over(before), F.lit(0)).alias("opened"))
     ends = F.transform("ends", lambda e: F.col("base") + e)
     tail = F.col("base") + F.col("size")
     stops = F.concat(F.transform(ends, lambda e: F.struct(e.alias("at"), F.lit(True).alias("closed"))),
-                     F.when(F.col("last") & (tail > F.coalesce(F.element_at(ends, -1) + 1, F.col("opened"))), F.array(F.struct(tail.alias("at"), F.lit(False).alias("closed"))))
+                     F.when(F.col("last") & (tail > F.coalesce(F.get(ends, F.size(ends) - 1) + 1, F.col("opened"))), F.array(F.struct(tail.alias("at"), F.lit(False).alias("closed"))))
                      .otherwise(F.array().cast("array<struct<at:bigint,closed:boolean>>")))
     starts = F.concat(F.array("opened"), F.transform(ends, lambda e: e + 1))
     counted = F.transform(stops, lambda s, i: F.struct((F.col("number") + i).alias("document"), (s["at"] - F.get(starts, i)).alias("n_tokens"), s["closed"].alias("closed")))
