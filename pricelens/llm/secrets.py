@@ -21,7 +21,7 @@ BASE = {
 }
 KINDS = [*BASE, "markov"]
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
-FIRST, SYMBOLS = 33, 94  # printable ASCII
+FIRST, SYMBOLS, TOKEN_SYMBOLS = 33, 94, 67  # printable ASCII; those of TOKEN
 #: Least log-likelihood ratio (natural logarithm) of a secret.
 LEAST_RATIO = 12.0
 MASK = "[secret]"
@@ -75,18 +75,22 @@ def samples(scanned: DataFrame, text: str) -> DataFrame:
 def train(labelled: DataFrame) -> list[float]:
     """Log-likelihood ratio of every transition, random string against ordinary identifier, from (sample, secret).
 
-    Transitions are counted over all samples, add-one smoothed; no samples of a kind leave its model uniform."""
+    Transitions are counted over all samples and smoothed towards the frequency of the second character, that towards a uniform
+    one; no samples of a kind leave its model uniform. The random strings' model is mixed half and half with a uniform one, for
+    their alphabets differ from kind to kind."""
     code = lambda i: F.ascii(F.substring(F.col("sample"), i, F.lit(1))) - FIRST
     steps = F.transform(F.sequence(F.lit(1), F.length("sample") - 1), lambda i: code(i) * SYMBOLS + code(i + 1))
     counts = (labelled.where(F.length("sample") > 1).select("secret", F.explode(steps).alias("step"))
               .groupBy("secret", "step").count().collect())  # two rows for each pair of symbols at most
     table = {(r["secret"], r["step"]): r["count"] for r in counts}
-    ratios: list[float] = []
-    for a in range(SYMBOLS):
-        total = {s: sum(table.get((s, a * SYMBOLS + b), 0) for b in range(SYMBOLS)) + SYMBOLS for s in (True, False)}
-        for b in range(SYMBOLS):
-            n = {s: table.get((s, a * SYMBOLS + b), 0) + 1 for s in (True, False)}
-            ratios.append(math.log(n[True] / total[True]) - math.log(n[False] / total[False]))
+    kinds, symbols, ratios = (True, False), range(SYMBOLS), []
+    single = {(s, b): sum(table.get((s, a * SYMBOLS + b), 0) for a in symbols) + 1 for s in kinds for b in symbols}
+    every = {s: sum(single[s, b] for b in symbols) - SYMBOLS + TOKEN_SYMBOLS for s in kinds}
+    for a in symbols:
+        total = {s: sum(table.get((s, a * SYMBOLS + b), 0) for b in symbols) + TOKEN_SYMBOLS for s in kinds}
+        for b in symbols:
+            share = {s: (table.get((s, a * SYMBOLS + b), 0) + TOKEN_SYMBOLS * single[s, b] / every[s]) / total[s] for s in kinds}
+            ratios.append(math.log((share[True] + 1 / TOKEN_SYMBOLS) / 2) - math.log(share[False]))
     return ratios
 
 
