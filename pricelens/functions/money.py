@@ -27,6 +27,11 @@ def whole_euros(cents: Column) -> Column:
     return F.floor((cents + 50) / 100).cast("bigint").cast("string")
 
 
+def plain_number(number: Column) -> Column:
+    """A setting as text, without a trailing '.0'."""
+    return F.regexp_replace(number.cast("string"), "\\.0$", "")
+
+
 def format_price(cents: Column) -> Column:
     """'1 234,50 €', without ',00'; '?' when unknown."""
     text = F.translate(F.format_number(cents.cast("decimal(20,0)") / 100, 2), ",.", " ,")

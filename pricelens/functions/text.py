@@ -9,12 +9,11 @@ from collections.abc import Sequence
 from functools import lru_cache
 from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from pricelens.fixed_values import NEGATION_WORDS
+from pricelens.functions.literals import let
 
 
 def fold(text: str) -> str:
@@ -34,38 +33,70 @@ def normalized(text: str) -> str:
 _QUOTES = [("’", "'"), ("“", '"'), ("”", '"'), ("''", '"'), ("—", "-"), ("–", "-")]
 
 
+_HANGUL = range(0xAC00, 0xD7A4)
+
+
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(from, to) for ``translate`` and the characters that fold to several, derived from the Unicode tables.
+    """(from, to) for ``translate`` and the characters that fold to several, derived from the Unicode tables of all planes.
 
-    Covers every character of the basic plane whose folding is one character or none; expansions are covered for
-    Latin, punctuation, letter-like and ligature blocks. Hangul and other scripts that decompose into several
-    letters keep their form here; ``normalize_text_exact`` handles them.
-    """
+    Hangul syllables, which fold to two or three letters each by arithmetic, have tables of their own."""
     source, target, dropped, longer = [], [], [], []
-    for code in [*range(0x80, 0xAC00), *range(0xF900, 0x10000)]:
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
         char = chr(code)
-        folded = fold(char)
-        if folded == char:
+        if code in _HANGUL or (folded := fold(char)) == char:
             continue
         if len(folded) == 1:
             source.append(char)
             target.append(folded)
         elif not folded:
             dropped.append(char)
-        elif 0xA0 <= code <= 0x24F or 0x2000 <= code <= 0x215F or 0xFB00 <= code <= 0xFB06:
+        else:
             longer.append((char, folded))
     return "".join(source + dropped), "".join(target), tuple(longer)
 
 
+def _char_class(chars: str) -> str:
+    """A character class of few ranges."""
+    codes, spans = sorted(map(ord, chars)), []
+    for code in codes:
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+def _fold_hangul(text: Column) -> Column:
+    syllables = "".join(map(chr, _HANGUL))
+    lead = "".join(chr(0x1100 + (c - 0xAC00) // 588) for c in _HANGUL)
+    vowel = "".join(chr(0x1161 + (c - 0xAC00) % 588 // 28) for c in _HANGUL)
+    closed = "".join(chr(c) for c in _HANGUL if (c - 0xAC00) % 28)
+    tail = "".join(chr(0x11A7 + (c - 0xAC00) % 28) for c in _HANGUL if (c - 0xAC00) % 28)
+    open_ = "".join(chr(c) for c in _HANGUL if not (c - 0xAC00) % 28)
+
+    def letters(c: Column) -> Column:
+        parts = F.concat(F.translate(c, syllables, lead), F.translate(c, syllables, vowel), F.translate(c, closed + open_, tail))
+        return F.when(c.rlike("[\\x{AC00}-\\x{D7A3}]"), parts).otherwise(c)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), letters), "")
+
+
 def strip_marks(text: Column) -> Column:
-    """Accents and compatibility forms folded to plain letters."""
+    """Accents and compatibility forms folded to plain letters, for every character there is.
+
+    Each step is gated by what it is for: plain ASCII is left alone, and only texts that still hold a character of
+    several letters are searched for these."""
     source, target, longer = _fold_tables()
     out = F.translate(text, source, target)
     pairs = F.from_json(F.lit(json.dumps([{"a": c, "b": f} for c, f in longer])), "ARRAY<STRUCT<a: STRING, b: STRING>>")
-    expanded = F.aggregate(pairs, out, lambda acc, p: F.replace(acc, p["a"], p["b"]))
-    folded = F.when(out.rlike("[" + "".join(c for c, _ in longer) + "]"), expanded).otherwise(out)
-    return F.when(text.rlike("[^\\x00-\\x7F]"), folded).otherwise(text)
+
+    def expand(t: Column) -> Column:
+        wide = F.when(t.rlike("[^\\x00-\\x7F]") & t.rlike(_char_class("".join(c for c, _ in longer))),
+                      F.aggregate(pairs, t, lambda acc, p: F.replace(acc, p["a"], p["b"]))).otherwise(t)
+        return F.when(t.rlike("[\\x{AC00}-\\x{D7A3}]"), _fold_hangul(wide)).otherwise(wide)
+
+    return F.when(text.rlike("[^\\x00-\\x7F]"), let(out, expand)).otherwise(text)
 
 
 def normalize_text(text: Column) -> Column:
@@ -75,14 +106,6 @@ def normalize_text(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(out, "(?U)\\s+", " ")))
 
 
-@F.pandas_udf(StringType())
-def normalize_text_exact(text: pd.Series) -> pd.Series:
-    """``normalize_text`` with full decomposition for every script (Arrow batches; outside the hot path)."""
-    out = text.fillna("").map(fold)
-    for a, b in _QUOTES:
-        out = out.str.replace(a, b, regex=False)
-    return out.str.replace(r"\s+", " ", regex=True).str.strip().str.lower()
-
 
 def keyword_pattern(words: Sequence[str]) -> str | None:
     """One alternation; a word has a boundary only on the sides where it begins or ends with a letter or digit.

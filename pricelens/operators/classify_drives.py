@@ -269,11 +269,19 @@ def classify_drives(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
     def named(part: str, hint: Column) -> Column:
         return F.when(accepted & chosen, F.col(f"chosen.{part}")).when(accepted, F.coalesce(hint, aside[part])).otherwise(aside[part])
 
+    # What a rejected row still tells: the capacities that decided against it.
+    hit_caps = F.array_distinct(F.filter(F.transform("hits", lambda h: h["cap"]), lambda c: c > 0))
+    elsewhere = F.col("early").isNull() & ~chosen & F.col("bad").isNull() & F.col("any_hit").isNotNull()
+    counted = (F.coalesce("early", "ref_reason", "word_reason").isNull() & F.col("cap_reason").isin("capacity_mismatch", "generic")
+               & ~(t.rlike(fv.COMMA_LIST) | t.rlike(fv.GENERIC_OFFER))
+               & ~((F.col("qty") > 1) & t.rlike(fv.LOT_TOTAL) & ~F.exists("caps", lambda c: F.abs(c - target) < NEAR)))
     all_caps = F.when(chosen & (F.col("chosen.cap") > 0), F.array_union("caps", F.array("chosen.cap"))).otherwise(F.col("caps"))
     attrs = F.map_filter(F.create_map(
         F.lit("capacities_gb"), F.array_join(F.transform(F.sort_array(all_caps), lambda c: c.cast("string")), ", "),
         F.lit("smart_hours"), usage_hours(full).cast("string")), lambda k, v: v.isNotNull() & (v != ""))
-    empty = F.create_map().cast("map<string,string>")
+    turned_down = F.when(counted, all_caps).when(elsewhere, hit_caps)
+    only_caps = F.map_filter(F.create_map(F.lit("capacities_gb"), F.array_join(F.transform(F.sort_array(turned_down), lambda c: c.cast("string")), ", ")),
+                             lambda k, v: v.isNotNull() & (v != ""))
     return df.select(
         *[c for c in inner if c not in RESULT_COLS],
         F.when(accepted, "accept").otherwise("reject").alias("verdict"), "reason",
@@ -281,5 +289,5 @@ def classify_drives(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
         F.when(accepted & chosen, F.col("chosen.ref")).otherwise(aside["ref"]).alias("model"),
         named("brand", F.coalesce(F.col("hint.brand"), brand_hint(full))).alias("brand"),
         F.when(accepted, flags).otherwise(F.array().cast("array<string>")).alias("flags"),
-        F.when(accepted, attrs).otherwise(empty).alias("attrs"),
+        F.when(accepted, attrs).otherwise(only_caps).alias("attrs"),
         F.when(accepted & lot, F.col("qty")).otherwise(F.lit(1).cast("bigint")).alias("quantity"))

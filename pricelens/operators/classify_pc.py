@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pricelens import fixed_values as fv
 from pricelens.functions.literals import let, lookup
-from pricelens.functions.text import (find_affirmed_keyword, find_keyword, has_keyword, keyword_pattern, normalize_text)
+from pricelens.functions.text import (find_affirmed_keyword, find_keyword, has_keyword, keyword_pattern, normalize_text, normalized)
 from pricelens.operators.classify_keywords import RESULT_COLS, family_case, flag_array, with_text
 
 CPU_DDL = "STRUCT<label: STRING, tier: STRING, gen: BIGINT, score: BIGINT>"
@@ -144,13 +144,24 @@ def pc_lot_quantity(title: Column) -> Column:
 
 
 def cpu_floor(cpu: str | None) -> int | None:
-    """Score of the configured floor ('i5-8400'), worked out on the driver from the same fixed values."""
-    m = re.search(r"i([3579])[\s\-]?(\d{4,5})", (cpu or "").lower())
-    if m:
-        gen = int(m.group(2)[:2]) if len(m.group(2)) == 5 else int(m.group(2)[0])
-        return gen + fv.CPU_TIER_POINTS[m.group(1)]
-    m = re.search(r"ryzen\s*([3579])\s*(?:pro\s*)?(\d)\d{3}", (cpu or "").lower())
-    return fv.RYZEN_GENERATIONS[m.group(2)] + fv.CPU_TIER_POINTS[m.group(1)] if m else None
+    """Score of the configured floor ('i5-8400', 'i5 8e gen', 'Ryzen 5 4650GE'), by the patterns that read the listings.
+
+    A floor that names no scored CPU is an error: listings would pass it unseen."""
+    text = normalized(cpu or "")
+    if not text:
+        return None
+    scores = []
+    for m in re.finditer(fv.CPU_INTEL, text):
+        scores.append(int(m.group(2)[:2] if len(m.group(2)) == 5 else m.group(2)[0]) + fv.CPU_TIER_POINTS[m.group(1)])
+    for m in re.finditer(fv.CPU_INTEL_GEN, text):
+        if 2 <= int(m.group(2)) <= 20:
+            scores.append(int(m.group(2)) + fv.CPU_TIER_POINTS[m.group(1)])
+    for m in re.finditer(fv.CPU_RYZEN, text):
+        if m.group(3)[0] in fv.RYZEN_GENERATIONS:
+            scores.append(fv.RYZEN_GENERATIONS[m.group(3)[0]] + fv.CPU_TIER_POINTS[m.group(1)])
+    if not scores:
+        raise ValueError(f"min_cpu {cpu!r} names no CPU with a known generation")
+    return max(scores)
 
 
 def classify_pc(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
@@ -191,36 +202,45 @@ def classify_pc(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
     ram = F.when(~no_ram, F.col("mem.ram"))
     sto = F.when(~no_sto, F.col("mem.storage"))
     df = df.withColumns({"ram_gb": ram, "sto_gb": sto, "barebone": barebone, "no_ram": no_ram, "no_sto": no_sto, "below": below})
+    ram_below = (F.lit(ram_floor) > 0) & (F.col("ram_gb") < ram_floor)
+    sto_below = (F.lit(sto_floor) > 0) & (F.col("sto_gb") < sto_floor)
+    # How far the checks went: a rejected row keeps the flags and attributes found up to there.
+    stage = (F.when(F.coalesce("early", no_family).isNotNull(), 0).when(F.col("below"), 1).when(fam_null & F.col("cpu").isNull(), 2)
+             .when(ram_below, 3).when(sto_below, 4).otherwise(5))
     late = (
-        F.when(F.col("below"), F.concat(F.lit("cpu_below:"), F.col("cpu.label")))
-        .when(fam_null & F.col("cpu").isNull(), "no_match")
-        .when((F.lit(ram_floor) > 0) & (F.col("ram_gb") < ram_floor), F.concat(F.lit("ram_below:"), F.col("ram_gb").cast("string")))
-        .when((F.lit(sto_floor) > 0) & (F.col("sto_gb") < sto_floor), F.concat(F.lit("storage_below:"), F.col("sto_gb").cast("string")))
+        F.when(F.col("stage") == 1, F.concat(F.lit("cpu_below:"), F.col("cpu.label")))
+        .when(F.col("stage") == 2, "no_match")
+        .when(F.col("stage") == 3, F.concat(F.lit("ram_below:"), F.col("ram_gb").cast("string")))
+        .when(F.col("stage") == 4, F.concat(F.lit("storage_below:"), F.col("sto_gb").cast("string")))
     )
-    df = df.withColumn("shape", F.coalesce("early", no_family)).withColumn("reason", F.coalesce("shape", late))
+    df = df.withColumns({"shape": F.coalesce("early", no_family), "stage": stage}).withColumn("reason", F.coalesce("shape", late))
     accepted, reached, named = F.col("reason").isNull(), F.col("shape").isNull(), F.col("early").isNull()
+
+    def after(least: int, value: Column) -> Column:
+        return F.when(F.col("stage") >= least, value)
+
     flags = flag_array(
-        F.when(fam_null, "family_unknown"),
-        F.when(t.rlike(fv.SCREEN_BUNDLE), "bundle"),
-        F.when(F.col("assumed"), "cpu_gen_assumed"),
-        F.when(score.isNull(), "cpu_unknown"),
-        F.when(F.col("barebone"), "barebone").when(F.col("no_ram"), "no_ram"),
-        F.when(~F.col("barebone") & F.col("no_sto"), "no_storage"),
-        F.when(full.rlike(fv.NO_PSU), "no_psu"),
-        F.when(~F.col("no_ram") & F.col("ram_gb").isNull(), "ram_unknown"),
-        F.when(~F.col("no_sto") & F.col("sto_gb").isNull(), "storage_unknown"),
-        F.when(F.col("pcs") > 1, "lot"))
+        after(1, F.when(fam_null, "family_unknown")),
+        after(1, F.when(t.rlike(fv.SCREEN_BUNDLE), "bundle")),
+        after(1, F.when(F.col("assumed"), "cpu_gen_assumed")),
+        after(2, F.when(score.isNull(), "cpu_unknown")),
+        after(3, F.when(F.col("barebone"), "barebone").when(F.col("no_ram"), "no_ram")),
+        after(3, F.when(~F.col("barebone") & F.col("no_sto"), "no_storage")),
+        after(3, F.when(full.rlike(fv.NO_PSU), "no_psu")),
+        after(4, F.when(~F.col("no_ram") & F.col("ram_gb").isNull(), "ram_unknown")),
+        after(5, F.when(~F.col("no_sto") & F.col("sto_gb").isNull(), "storage_unknown")),
+        after(5, F.when(F.col("pcs") > 1, "lot")))
     attrs = F.map_filter(F.create_map(
-        F.lit("cpu"), F.col("cpu.label"), F.lit("cpu_score"), score.cast("string"), F.lit("cpu_gen"), F.col("cpu.gen").cast("string"),
-        F.lit("ram_gb"), F.col("ram_gb").cast("string"), F.lit("storage_gb"), F.col("sto_gb").cast("string"),
-        F.lit("storage"), F.when(F.col("sto_gb").isNotNull(), F.col("mem.kind"))), lambda k, v: v.isNotNull() & (v != ""))
+        F.lit("cpu"), after(1, F.col("cpu.label")), F.lit("cpu_score"), after(1, score.cast("string")),
+        F.lit("cpu_gen"), after(1, F.when(score.isNotNull(), F.col("cpu.gen").cast("string"))),
+        F.lit("ram_gb"), after(3, F.col("ram_gb").cast("string")), F.lit("storage_gb"), after(4, F.col("sto_gb").cast("string")),
+        F.lit("storage"), after(4, F.when(F.col("sto_gb").isNotNull(), F.col("mem.kind")))), lambda k, v: v.isNotNull() & (v != ""))
     return df.select(
         *[c for c in inner if c not in RESULT_COLS],
         F.when(accepted, "accept").otherwise("reject").alias("verdict"), "reason",
         F.when(named, F.col("fam")).alias("family"), F.when(reached, F.col("cpu.label")).alias("model"),
         F.lit(None).cast("string").alias("brand"),
-        F.when(accepted, flags).otherwise(F.array().cast("array<string>")).alias("flags"),
-        F.when(accepted, attrs).otherwise(F.create_map().cast("map<string,string>")).alias("attrs"),
+        flags.alias("flags"), attrs.alias("attrs"),
         F.when(accepted, F.col("pcs")).otherwise(F.lit(1).cast("bigint")).alias("quantity"))
 
 

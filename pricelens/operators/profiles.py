@@ -32,7 +32,7 @@ class Profile:
         divisor, label = cfg.get("unit_divisor"), cfg.get("unit_label") or ""
         if self.name == "hdd":
             divisor, label = cfg.get("target_capacity_tb", 8), "€/To"
-        return {"unit_divisor": int(divisor) if divisor else None, "unit_label": label,
+        return {"unit_divisor": float(divisor) if divisor else None, "unit_label": label,
                 "low_flags": list(self.low_flags), "flag_notes": dict(self.flag_notes)}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.functions.listing import age_days
-from pricelens.functions.money import delivered_cents, lot_divisor, rounded_div, whole_euros
+from pricelens.functions.money import plain_number, delivered_cents, lot_divisor, rounded_div, whole_euros
 
 # Flags that lower the priority, and the French note texts.
 LOW_FLAGS = ("model_unknown", "low_tier", "ref_unverified")
@@ -32,8 +32,8 @@ def with_prices(df: DataFrame) -> DataFrame:
 
 
 def per_unit_cents(unit: Column, divisor: Column) -> Column:
-    """Price per profile unit (€/To...); null without a divisor."""
-    return F.when(divisor > 0, rounded_div(unit, divisor))
+    """Price per profile unit (€/To...), half up; the divisor may be a fraction; null without one."""
+    return F.when(divisor > 0, F.floor(unit / divisor + 0.5).cast("bigint"))
 
 
 def tier_for(unit: Column, tiers: Column) -> Column:
@@ -127,7 +127,7 @@ def with_scam_flags(df: DataFrame) -> DataFrame:
     pct = F.col("below_median_pct")
     rules = F.array(
         F.when(unit * 100 < F.col("market_cents") * pct,
-               F.concat(F.lit("prix "), whole_euros(unit), F.lit(" € < "), pct.cast("string"),
+               F.concat(F.lit("prix "), whole_euros(unit), F.lit(" € < "), plain_number(pct),
                         F.lit("% de la médiane ("), whole_euros(F.col("market_cents")), F.lit(" €)"))),
         F.when(F.col("zero_feedback_below_market") & no_reviews & (unit < F.col("market_cents")), SCAM_NO_REVIEWS),
         F.when((ship > F.col("max_shipping_cents")) | ((price > 0) & (ship * 100 > price * F.col("max_shipping_pct"))),

@@ -18,7 +18,7 @@ def scored_listings(spark: SparkSession, sf: str, as_of: str = "2001-11-05", day
     market = mk.market_table(mk.snapshot_points(state, F.lit(as_of).cast("timestamp"), days))
     rules = fr.watches(spark)
     judged = with_scam_flags(mk.attach_market(
-        state.drop("suspicious").join(F.broadcast(rules), "watch").withColumn("secure_payment", F.lit(None).cast("boolean")),
+        state.drop("suspicious").join(F.broadcast(rules), "watch"),
         market))
     return judged.select("watch", "source", "listing_id", "family", "model", "unit_cents", "status", "tier", "priority",
                          "keep", "median_cents", "median_samples", fr.joined(F.col("suspicious")).alias("suspicious"))

@@ -18,7 +18,7 @@ from pricelens.sources import cards as cd
 from pricelens.sources import details as dt
 from pricelens.sources import embedded_json as ej
 from pricelens.sources import forum as fo
-from pricelens.sources.registry import SOURCES, WEIGHT_STEPS, Source, read_pages, register
+from pricelens.sources.registry import SOURCES, WEIGHT_STEPS, Source, forum_source, read_pages, register
 
 def ln():
     """Line number of the sighting, the last digit of its id."""
@@ -339,19 +339,24 @@ def enrich_details(spark, sf):
 
 @query("source_registry", compose(
     "SELECT source, count(*) AS n, CAST(sum(price_cents) AS BIGINT) AS cents FROM (SELECT 'lbc' AS source, unnest([price_cents, price_cents]) AS price_cents FROM log WHERE source = 'lbc' AND obs_id % 71 > 1 "
-    "UNION ALL SELECT source, price_cents FROM log WHERE source = 'ebay' UNION ALL SELECT 'vinted', unnest([price_cents, 100]) FROM log WHERE source = 'vinted' "
-    "UNION ALL SELECT 'csv', price_cents FROM log WHERE source = 'hfr') GROUP BY source", "log"))
+    "UNION ALL SELECT source, price_cents FROM log WHERE source = 'ebay' UNION ALL SELECT source, price_cents FROM log WHERE source = 'vinted' "
+    "UNION ALL SELECT 'hfr', price_cents // 100 * 100 FROM hfr WHERE obs_id % 10 % 4 > 1 AND ((p_name LIKE '%red%' AND p_name LIKE '%widget%') OR p_name LIKE '%blue%' OR p_name LIKE '%bolt%') "
+    "UNION ALL SELECT 'csv', price_cents FROM log WHERE source = 'ebay') GROUP BY source", "hfr"))
 def source_registry(spark, sf):
     """All built-in sources and one registered here, read from a single raw page table."""
     def csv_listings(pages):
         return pages.select("watch", F.lit("csv").alias("source"), F.split("body", ";")[0].alias("listing_id"), F.split("body", ";")[1].cast("bigint").alias("price_cents"))
 
-    register(Source("csv", csv_listings))
-    csv = _rows(spark, sf, "hfr").select("watch", "scan_id", F.col("obs_id").alias("page_id"), F.concat_ws(";", "listing_id", F.col("price_cents").cast("string")).alias("body"))
-    pages = union_frames(*[p.withColumn("source", F.lit(n)) for n, p in (("lbc", ad_pages(spark, sf)), ("ebay", api_pages(spark, sf)),
-                                                                         ("vinted", card_pages(spark, sf)), ("csv", csv))])
+    csv = _rows(spark, sf, "ebay").select("watch", "scan_id", F.col("obs_id").alias("page_id"), F.concat_ws(";", "listing_id", F.col("price_cents").cast("string")).alias("body"))
+    topics = post_pages(spark, sf).drop("topic").withColumn("url", F.concat(F.lit("https://forum.example/hfr/x-sujet_"), "page_id", F.lit("_1.htm")))
+    pages = union_frames(*[p.withColumn("source", F.lit(n)) for n, p in (
+        ("lbc", ad_pages(spark, sf)), ("ebay", api_pages(spark, sf)), ("vinted", card_pages(spark, sf)), ("hfr", list_pages(spark, sf)), ("hfr", topics), ("csv", csv))])
+    known = dict(SOURCES)
     try:
+        register(Source("csv", csv_listings))
+        register(forum_source(QUERIES))
         rows = read_pages(captured(pages))
     finally:
-        SOURCES.pop("csv", None)
+        SOURCES.clear()
+        SOURCES.update(known)
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("price_cents").alias("cents"))

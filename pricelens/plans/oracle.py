@@ -26,7 +26,7 @@ def _watch_values() -> str:
         flat = [w["watch"], w["watch_title"], w["profile"], w["enabled"], w["price_drop_pct"], w["suspicious_mode"],
                 w["require_delivery"], w["max_age_days"], w["watch_label"], w["min_samples"], w["reference_cents"],
                 w["min_unit_cents"], w["below_median_pct"], w["max_shipping_cents"], w["max_shipping_pct"],
-                w["unit_divisor"], w["unit_label"]]
+                w["unit_divisor"] and int(w["unit_divisor"]), w["unit_label"]]
         for t in tiers:
             flat += [t["max_cents"], t["priority"], ",".join(t["tags"])]
         rows.append("(" + ", ".join(map(_lit, flat)) + ")")

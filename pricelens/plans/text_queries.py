@@ -273,18 +273,22 @@ def capacity_set(spark, sf):
 
 @query("capacity_consistency", f"""
   SELECT l_orderkey, l_linenumber, l_partkey,
-    CASE l_linenumber % 4 WHEN 0 THEN CASE WHEN n <> 8 THEN 'capacity_mismatch' END WHEN 1 THEN NULL
-      WHEN 2 THEN 'no_capacity' ELSE CASE WHEN n = 8 OR n = 9 THEN NULL ELSE 'generic' END END AS reason,
-    CASE l_linenumber % 4 WHEN 1 THEN n <> 8 WHEN 3 THEN TRUE WHEN 0 THEN n <> 8 ELSE FALSE END AS competing FROM ({NUM_SQL})""")
+    CASE k WHEN 0 THEN CASE WHEN n <> 8 THEN 'capacity_mismatch' END WHEN 2 THEN 'no_capacity' WHEN 3 THEN CASE WHEN n <> 8 AND n <> 9 THEN 'generic' END
+      WHEN 4 THEN CASE WHEN q > 1 AND n <> 8 THEN 'capacity_mismatch' WHEN n <> 8 THEN 'capacity_mismatch' END
+      WHEN 5 THEN CASE WHEN q > 1 AND n <> 8 AND n * q = 8 THEN 'capacity_mismatch' END END AS reason,
+    CASE k WHEN 0 THEN n <> 8 WHEN 1 THEN n <> 8 WHEN 3 THEN n = 8 OR n = 9 WHEN 4 THEN n <> 8
+      WHEN 5 THEN n <> 8 AND NOT (q > 1 AND n = 8 * q) WHEN 6 THEN n <> 8 ELSE FALSE END AS competing FROM (SELECT *, (l_orderkey + l_linenumber) % 7 AS k FROM ({NUM_SQL}))""")
 def capacity_consistency(spark, sf):
-    df = numbers(spark, sf)
-    n, kind = F.col("n"), F.col("l_linenumber") % 4
-    title = F.when(kind == 0, _say("disque ", n, " to")).when(kind == 1, _say("disque ", n, " to ou 8 to")).when(
-        kind == 2, F.lit("disque dur")).otherwise(_say("disque ", n, " to, 8 to, 9 to"))
-    df = df.withColumns({"caps": dr.capacity_set(title), "title": title})
-    reason, several = dr.capacity_reason(F.col("caps"), F.lit(False), F.lit(1), F.lit(False), F.lit(0), 8000, F.col("title"))
-    others = F.size(F.filter("caps", lambda c: c != 8000)) > 0
-    return df.select(*ROW, reason.alias("reason"), (several | others).alias("competing"))
+    """One capacity, two, none, a list; the total of a lot; a lot of small ones; a chosen reference that brings a capacity."""
+    df = numbers(spark, sf).withColumn("k", (F.col("l_orderkey") + F.col("l_linenumber")) % 7)
+    n, q, kind = F.col("n"), F.col("q").cast("bigint"), F.col("k")
+    title = F.when(kind == 2, F.lit("disque dur")).when(kind == 3, _say("disque ", n, " to, 8 to, 9 to")).when(
+        kind.isin(1, 5), _say("disque ", n, " to ou 8 to")).otherwise(_say("disque ", n, " to"))
+    df = df.withColumns({"caps": F.when(kind == 6, F.array(F.lit(8000).cast("bigint"))).otherwise(dr.capacity_set(title)), "title": title})
+    reason, several = dr.capacity_reason(
+        F.col("caps"), kind == 4, F.when(kind.isin(4, 5), q).otherwise(F.lit(1).cast("bigint")), kind == 6,
+        F.when(kind == 6, n.cast("bigint") * 1000).otherwise(F.lit(0).cast("bigint")), 8000, F.lit("disque"))
+    return df.select(*ROW, reason.alias("reason"), several.alias("competing"))
 
 
 @query("lot_quantity", f"""

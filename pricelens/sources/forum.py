@@ -47,6 +47,9 @@ def topic_list(pages: DataFrame) -> DataFrame:
     ).where(F.col("topic_id") != "")
 
 
+TOPIC_ADDRESS = r"sujet_(\d+)_"
+
+
 class _OpeningPost(HTMLParser):
     """Text of the first message: quotes left out, struck text wrapped, one line per block or break."""
 
@@ -165,13 +168,13 @@ def says_all(text: Column, query: str) -> Column:
 
 
 def topic_candidates(topics: DataFrame, queries: Sequence[str]) -> DataFrame:
-    """Sale topics (not sticky, not a collective topic) with the first query that their title holds.
+    """Sale topics (not sticky, not a collective topic) with the first query that their title holds; all of them without queries.
 
     The queries are configuration, so they become one ordered expression instead of a join.
     """
     df = topics.withColumn("ntitle", normalize_text(F.col("title")))
     df = df.where(~F.col("sticky") & F.col("ntitle").rlike(fv.TOPIC_SALE) & ~F.col("ntitle").rlike(fv.TOPIC_AGGREGATE))
-    first = F.coalesce(*[F.when(says_all(F.col("ntitle"), q), F.lit(i)) for i, q in enumerate(queries)])
+    first = F.coalesce(*[F.when(says_all(F.col("ntitle"), q), F.lit(i)) for i, q in enumerate(queries)]) if queries else F.lit(0)
     return df.withColumn("query_no", first).where(F.col("query_no").isNotNull()).drop("ntitle")
 
 
@@ -229,3 +232,17 @@ def topic_listings(df: DataFrame) -> DataFrame:
         F.when(F.col("nall").rlike(fv.TOPIC_HAND_ONLY), False).when(F.col("nall").rlike(fv.TOPIC_SHIP_YES), True).alias("delivery"),
         F.lit(None).cast("boolean").alias("secure_payment"), F.when(sold, "sold").when(pending, "pending").otherwise("active").alias("status"),
         F.col("last_post").alias("posted_at"), "replies")
+
+
+def forum_listings(pages: DataFrame, queries: Sequence[str] = ()) -> DataFrame:
+    """Listings of one raw page table that holds topic lists and topics; a topic's address tells it and names it.
+
+    A topic read several times in a scan counts once. ``posted_at`` is text, as in every other source.
+    """
+    is_topic = F.coalesce(F.col("url").rlike(TOPIC_ADDRESS), F.lit(False))
+    scope = [c for c in ("watch", "scan_id") if c in pages.columns]
+    topics = topic_candidates(topic_list(pages.where(~is_topic).drop("url")), queries)
+    read = pages.where(is_topic).select(*scope, F.regexp_extract("url", TOPIC_ADDRESS, 1).alias("topic_id"), "body")
+    posts = opening_posts(read.dropDuplicates([*scope, "topic_id"]))
+    rows = topic_listings(item_block(topics.join(posts, [*scope, "topic_id"]), queries))
+    return rows.withColumn("posted_at", F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ssXXX"))

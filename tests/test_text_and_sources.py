@@ -1,14 +1,18 @@
 """Text rules, classifier traps and markup quirks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricelens.functions import text as tx
 from pricelens.functions.parse import price_text_cents, topic_price
 from pricelens.operators import classify_drives as dr
 from pricelens.operators import classify_pc as pc
+from pricelens.operators.profiles import PROFILES
+from pricelens.operators.scoring import per_unit_cents
 from pricelens.plans.title_cases import PC_CFG
 from pricelens.sources import cards as cd
 from pricelens.sources import forum as fo
+from pricelens.sources.registry import unread_pages
 
 
 def column(spark, values, expr):
@@ -17,12 +21,42 @@ def column(spark, values, expr):
 
 
 def test_normalize_native_equals_exact(spark):
-    words = ["Étagère “neuve”  — l’été", "½ ﬁn … ™ №5", "ÇÀ et\tlà\n", "Straße ŒUVRE", "été", None, "2″ x", "a''b"]
+    words = ["Étagère “neuve”  — l’été", "½ ﬁn … ™ №5", "ÇÀ et\tlà\n", "Straße ŒUVRE", "été", None, "2″ x", "a''b", "𝗗𝗶𝘀𝗾𝘂𝗲 𝟴𝗧𝗼", "8 ㎇", "한국어 텍스트", "ﷺ"]
     native = column(spark, words, tx.normalize_text)
-    assert native == column(spark, words, tx.normalize_text_exact)
+    assert native == [tx.normalized(w or "") for w in words]
     assert native[0] == 'etagere "neuve" - l\'ete' and native[5] == ""
 
 
+def test_folding_covers_every_plane(spark):
+    codes = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and tx.fold(chr(c)) != chr(c)]
+    words = ["".join(map(chr, codes[i:i + 400])) for i in range(0, len(codes), 400)]
+    assert column(spark, words, tx.strip_marks) == [tx.fold(w) for w in words]
+
+
+def test_floor_of_a_cpu():
+    assert pc.cpu_floor("i5 8e gen") == pc.cpu_floor("i5-8400") == 10 and pc.cpu_floor("") is None
+    with pytest.raises(ValueError):
+        pc.cpu_floor("un bon processeur")
+
+
+def test_rejected_rows_keep_what_was_found(spark):
+    rows = spark.createDataFrame([("Optiplex 3020 i3-4130 8 Go", "", "used")], "title string, description string, condition_code string")
+    row = pc.classify_pc(rows, PC_CFG).first()
+    assert row.reason.startswith("cpu_below") and row.attrs["cpu"] == "i3-4130" and row.flags == ["family_unknown"]
+    rows = spark.createDataFrame([("Disque dur 4 To", "", "used")], "title string, description string, condition_code string")
+    assert dr.classify_drives(rows, {}).first().attrs == {"capacities_gb": "4000"}
+
+
+def test_settings_may_be_fractions(spark):
+    assert PROFILES["hdd"].scoring({"target_capacity_tb": 1.92})["unit_divisor"] == 1.92
+    assert column(spark, ["100"], lambda c: per_unit_cents(c.cast("bigint"), F.lit(0.5))) == [200]
+
+
+def test_pages_of_unknown_sources_are_told(spark):
+    pages = spark.createDataFrame([("w", "mars", "<p>"), ("w", "ebay", "{}"), ("w", "hfr", "x"), ("w", None, "x")], "watch string, source string, body string")
+    assert {(r.source, r.error) for r in unread_pages(pages).collect()} == {("mars", "unknown source: mars"), ("hfr", "no url"), (None, "unknown source: null")}
+
+
 def test_negation(spark):
     words = ["disque hs", "aucun hs", "secteurs defectueux : 0", "aucun secteur defectueux", "piano hs", "10 hs", "hs: 01", "sans hs mais hs", "chs"]
     got = column(spark, words, lambda c: tx.find_affirmed_keyword(c, ["hs", "defectueux", "secteur defectueux", "secteurs defectueux"]))
