@@ -142,7 +142,9 @@ def snapshot(lines: DataFrame, scans: DataFrame, with_alerts: bool = True, gone_
 
 
 def missing_listings(state: DataFrame, scan_rows: DataFrame, scan: DataFrame) -> DataFrame:
-    """Open listings that a complete scan of their watch and source did not return."""
-    done = scan.where("complete").select("watch", "source", "scan_id")
-    open_rows = state.where(F.col("status").isin("active", "pending")).join(F.broadcast(done), ["watch", "source"])
+    """Open listings that the latest complete scan of their watch and source did not return.
+
+    ``scan`` may hold any number of scans; one row for each watch and source is joined, so no listing is multiplied."""
+    done = scan.where("complete").groupBy("watch", "source").agg(F.max("scan_id").alias("scan_id"))
+    open_rows = state.where(F.col("status").isin("active", "pending")).join(done, ["watch", "source"])
     return open_rows.join(scan_rows.select(*KEY, "scan_id"), [*KEY, "scan_id"], "left_anti")

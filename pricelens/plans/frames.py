@@ -12,7 +12,7 @@ from pricelens.operators.profiles import PROFILES
 from pricelens.operators.scoring import score, with_prices
 from pricelens.plans.settings import WATCHES
 from pricelens.session import shared_folder
-from pricelens.sources.observations import observation_log, scan_is_complete, source_name, spread, table
+from pricelens.sources.observations import observation_log, scan_is_complete, source_name, dealt, table
 from pricelens.sources.sinks import sink_state
 
 
@@ -57,7 +57,7 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 
 def big(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table whose rows are costly to process, dealt out over the cores."""
-    return spread(table(spark, sf, name))
+    return dealt(table(spark, sf, name))
 
 
 def stored_state(spark: SparkSession, sf: str) -> DataFrame:

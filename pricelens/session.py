@@ -22,7 +22,11 @@ def build_session(app: str = "pricelens", cpus: int | str = "*", shuffle_partiti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("PRICELENS_DRIVER_MEMORY", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pricelens-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if str(cpus).isdigit():
+        builder = builder.config("spark.pricelens.inputPartitions", str(cpus))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

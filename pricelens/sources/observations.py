@@ -12,13 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out over the cores when the files give fewer splits than there are cores.
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows in as many partitions as the job asks for in ``spark.pricelens.inputPartitions``; as they are read when it does not.
 
-    A large table always has more splits than cores and is left alone, so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    For single files of one row group, which Spark cannot split, on a machine with several cores. Unset on a cluster."""
+    n = df.sparkSession.conf.get("spark.pricelens.inputPartitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def source_name(number: Column) -> Column:
@@ -30,7 +29,7 @@ def observation_log(spark: SparkSession, sf_dir: str, lines: DataFrame | None =
 
     ``lines`` replaces the stored line items, for a micro-batch of them.
     """
-    line = (lines if lines is not None else spread(table(spark, sf_dir, "lineitem"))).select(
+    line = (lines if lines is not None else dealt(table(spark, sf_dir, "lineitem"))).select(
         "l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint").alias("ln"),
         F.col("l_quantity").cast("bigint").alias("qty"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("ext"),
