@@ -2,7 +2,7 @@
 
 COVER is a difference set modulo PERIOD: for any two places there is a shift below PERIOD that moves both onto the cover. So two
 equal windows hold an anchor, a run of ``window - PERIOD + 1`` words that starts on the cover in both. Only anchors are hashed and
-shuffled, a quarter of all places. Windows around anchors that occur twice are hashed whole (128 bits) and shuffled in turn; those
+shuffled, a quarter of all places. Windows around anchors that occur twice are hashed whole and shuffled in turn; those
 that occur twice are repeats. Their words are removed.
 
 A run that occurs several times in one batch of a task is known to repeat there and then: the batch keeps its places, and
@@ -25,7 +25,8 @@ PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Listings of a batch.
 BATCH = 1024
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: In the shuffles a text is the hash of its key and itself; a run is its hash (96 bits) and, in the lowest half of tail, its place.
+#: In the shuffles a text is the hash of its key and itself; a run is its hash (80 bits: below one chance meeting among a trillion
+#: windows; 48 bits for anchors, which only propose windows) and, in the lowest half of tail, its place.
 SENT, PLACES = "key long, tail long, text long, marks binary", "text long, at int, marks binary"
 NOWHERE = 0xFFFFFFFF
 
@@ -61,7 +62,7 @@ def _flat(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def _sent(names: np.ndarray, key: np.ndarray, more: np.ndarray, text: np.ndarray, place: np.ndarray, first: int) -> pa.RecordBatch:
     """Rows for the shuffle: places of runs met once; one row without a place for a run met several times; and, under a key that
     spreads them, one row of places per text for those."""
-    more = more & np.uint64(0xFFFFFFFF)
+    more = more & np.uint64(0xFFFF)
     order = np.lexsort((more, key))
     k, m = key[order], more[order]
     same, again = np.zeros(len(k), dtype=bool), np.zeros(len(k), dtype=bool)
@@ -140,7 +141,7 @@ def remove_repeats(listings: DataFrame, key: str = "obs_id", text: str = "descri
         for first, part in parts(batches):
             h, of, place, size = _flat([w if len(w) >= window else [] for w in split(part)])
             some = np.flatnonzero(cover[place % PERIOD] & (place + anchor <= size))
-            hashes = run_hashes(h, anchor, ODD[0])[some]
+            hashes = run_hashes(h, anchor, ODD[0])[some] >> np.uint64(16)
             yield _sent(part.column("text").to_numpy(), hashes, np.zeros_like(hashes), of[some], place[some], first)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
