@@ -101,7 +101,9 @@ def hits(listings: DataFrame, items: DataFrame, key: str, text: str, item_key: s
         same = _grams(same.withColumn("words", F.col("item_words")), length).select("item", "item_words", "hash")
         met = met.unionAll(_grams(texts, length).join(same, "hash").select("id", "v", "item", "item_words", F.col("at").alias("offset")))
     met = met.distinct()
-    joined = met.join(texts.withColumnsRenamed({"id": "own", "v": "own_v"}), F.col("id").eqNullSafe(F.col("own")) & (F.col("v") == F.col("own_v")))
+    whole = listings.select(F.col(key).alias("own"), version(F.col(text)).alias("own_v"), F.col(text).alias("text"))  # words would double the shuffle
+    joined = (met.join(whole, F.col("id").eqNullSafe(F.col("own")) & (F.col("v") == F.col("own_v")))
+              .select("id", "v", "item", "item_words", "offset", words(F.col("text")).alias("words")))
     low = F.greatest(F.lit(0), -F.col("offset"))
     m, k = F.size("item_words"), F.col("k")
     equal = F.zip_with(F.slice("item_words", F.col("low") + 1, k), F.slice("words", F.col("low") + F.col("offset") + 1, k), lambda x, y: x == y)
