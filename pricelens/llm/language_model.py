@@ -62,7 +62,15 @@ class Vocabulary:
 
     def __init__(self, counts: DataFrame):
         total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
+        size = F.floor(F.log2("n") * 16)  # words of about one frequency are taken together or not at all
+        rows, least = 0, None
+        for r in sorted(counts.where(F.col("word") != END).groupBy(size.alias("size")).count().collect(), reverse=True):  # some hundred
+            rows += r["count"]
+            if rows > KNOWN:
+                break
+            least = r["size"]
+        top = counts.where((F.col("word") != END) & (size >= least if least is not None else F.lit(False))).toPandas()
+        top = top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
         end = counts.where(F.col("word") == END).collect()
         words = [w.encode() for w in top["word"]]
         self.total, self.distinct = int(total), int(distinct)
