@@ -75,7 +75,7 @@ def quality(listings: DataFrame, reviews: DataFrame, learn: Column, key: str = "
     ``reviews`` holds key and ``label`` (1 kept, 0 rejected; others and nulls are no label). The fit sees labels of rows for
     which ``learn``, a condition on the key, holds: at most LABELLED of them. Scores come from the text alone. Null and empty
     texts are scored as such. Without labels of both kinds every text gets the share of kept ones among the labels, 0.5 where
-    there are none. Repeated rows give repeated results; several labels of a key all count. Other columns are ignored.
+    there are none. Repeated rows give repeated results; of several labels of a key the more frequent counts, 1 on a tie. Other columns are ignored.
     """
     kind = listings.schema[key].dataType.simpleString()
 
@@ -86,7 +86,9 @@ def quality(listings: DataFrame, reviews: DataFrame, learn: Column, key: str = "
 
     described = cut(listings.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(each, f"id {kind}, x array<double>"))
     labels = (reviews.select(F.col(key).alias(key), F.col(label).cast("int").alias("kept"))
-              .where(learn & F.col("kept").isin(0, 1)).select(F.col(key).alias("id"), "kept"))
+              .where(learn & F.col("kept").isin(0, 1)).groupBy(F.col(key).alias("id")).agg((F.avg("kept") >= 0.5).cast("int").alias("kept")))
+    drawn = min(1.0, 2 * LABELLED / max(1, labels.count()))  # twice what is wanted, so that few rows reach the driver
+    labels = labels.where(F.xxhash64("id") <= F.lit((2 * drawn - 1) * float(1 << 63)))
     sample = described.join(labels, "id").orderBy(F.xxhash64("id"), "kept").limit(LABELLED).select("x", "kept").toPandas()
     kept = sample["kept"].to_numpy(dtype=bool)
     share = float(kept.mean()) if len(kept) else 0.5
