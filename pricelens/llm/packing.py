@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -116,10 +117,10 @@ def pack(listings: DataFrame, key: str = "obs_id", text: str = "description", wi
     shards = max(1, -(-listings.count() // shard_rows))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.append(i, np.uint32(END)) for i in encoded(batch.column(2), path)]
+        for part, ids in (x for batch in batches for x in encoded(batch, 2, path)):
+            ids = [np.append(i, np.uint32(END)) for i in ids]
             small = "<u2" if all(int(i.max()) < 1 << 16 for i in ids) else "<u4"
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype(small).tobytes() for i in ids], pa.binary()),
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.astype(small).tobytes() for i in ids], pa.binary()),
                                               pa.array([int(small[-1])] * len(ids), pa.int8())], names=["id", "shard", "ids", "width"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,15 +131,18 @@ def pack(listings: DataFrame, key: str = "obs_id", text: str = "description", wi
         for shard in sorted(set(table["shard"].to_pylist())):
             part = table.filter(pa.compute.equal(table["shard"], shard))
             rows = sorted(zip(part["id"].to_pylist(), part["ids"].to_pylist(), part["width"].to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-            documents = [np.frombuffer(b, dtype=f"<u{w}").astype("<u4") for _, b, w in rows]
+            documents = [np.frombuffer(b, dtype=f"<u{w}") for _, b, w in rows]
             laid = list(order(documents, window))
-            found = [(rows[laid[r]][0], start, length, zlib.crc32(b := documents[laid[r]][start:start + length].tobytes()),
-                      len(documents[laid[r]]), (shard << SHARD_BITS) + sequence, offset, b)
-                     for r, start, length, sequence, offset in pieces([len(documents[i]) for i in laid], window)]
-            id_type = part.schema.field("id").type
-            types = [id_type, *[pa.int64()] * 6, pa.binary()]
-            for at in range(0, len(found), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[at:at + 1000]), types)], names=NAMES)
+            types = [part.schema.field("id").type, *[pa.int64()] * 6, pa.binary()]
+
+            def cut(found: Iterator[tuple], documents=documents, laid=laid, rows=rows, shard=shard) -> Iterator[tuple]:
+                for r, start, length, sequence, offset in found:
+                    ids = documents[laid[r]]
+                    piece = ids[start:start + length].astype("<u4").tobytes()
+                    yield rows[laid[r]][0], start, length, zlib.crc32(piece), len(ids), (shard << SHARD_BITS) + sequence, offset, piece
+
+            for some in batched(cut(pieces([len(documents[i]) for i in laid], window)), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=NAMES)
 
     dealt = listings.select(F.col(key).alias("id"), F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
                             F.col(text).alias("text"))

@@ -28,9 +28,8 @@ def write_tokens(listings: DataFrame, folder: str, text: str = "description", pa
     path = path or tokenizer_path()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [(i + 1).astype(f"<u{WIDTH}").tobytes() for i in encoded(batch.column(0), path, ordinary_specials=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["value"])
+        for _, ids in (x for batch in batches for x in encoded(batch, 0, path, ordinary_specials=True)):
+            yield pa.RecordBatch.from_arrays([pa.array([(i + 1).astype(f"<u{WIDTH}").tobytes() for i in ids], pa.binary())], names=["value"])
 
     (listings.select(F.col(text).alias("text")).mapInArrow(each, "value binary").select(F.col("value").cast("string"))
      .write.option("lineSep", "\0" * WIDTH).text(folder))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 from pricelens.llm.common import text_bytes
 
 TOKENIZER = "word_bpe_49k.json"
+SLICE = 512
 END = 2  # closes every document of a packed sequence
 
 
@@ -22,14 +25,14 @@ class WordEncoder:
     are those of its words in turn. A word that ends in an ASCII letter or digit and then stops is encoded as these two parts,
     for the tokenizer always parts them, too; it lowers letters itself. Memory is bounded by KEPT words."""
 
-    KEPT = 400_000
+    KEPT = 250_000
     STOPS = b".,!?;:*%$#&"
 
     def __init__(self, path: str, ordinary_specials: bool = False):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.exact = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = ordinary_specials
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = ordinary_specials
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # tokens that end a run of letters
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
@@ -45,7 +48,7 @@ class WordEncoder:
             data = ids.tobytes()
             self.known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
         others = [w for w in unknown if not w.isalpha()]
-        for word, e in zip(others, self.exact.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)):
+        for word, e in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)):
             self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -84,5 +87,8 @@ def _new(path: str, ordinary_specials: bool) -> WordEncoder:
     return _ENCODERS[path, ordinary_specials]
 
 
-def encoded(column: pa.Array, path: str, ordinary_specials: bool = False) -> list[np.ndarray]:
-    return encoder(path, ordinary_specials).encode(text_bytes(column))
+def encoded(batch: pa.RecordBatch, column: int, path: str, ordinary_specials: bool = False) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batch in slices, each with the ids of its texts: what a task holds at a time is a slice's."""
+    for at in range(0, batch.num_rows, SLICE):
+        part = batch.slice(at, SLICE)
+        yield part, encoder(path, ordinary_specials).encode(text_bytes(part.column(column)))
