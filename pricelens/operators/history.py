@@ -49,7 +49,7 @@ def timeline(scan_rows: DataFrame, scans: DataFrame, previous: DataFrame | None
     """
     rows = scan_rows.withColumn("carried", F.lit(False))
     if previous is not None:
-        kept = previous.select(*KEY, *LAST_SEEN_COLS, F.col("last_scan_id").alias("scan_id"),
+        kept = previous.select(*KEY, *[c for c in LAST_SEEN_COLS if c in previous.columns], F.col("last_scan_id").alias("scan_id"),
                                F.col("last_seen").alias("seen_at"), F.col("seen_status").alias("status"), "first_seen",
                                "notified_cents", "notified_at", "notify_count", "last_point", "price_points", F.lit(True).alias("carried"))
         rows = rows.unionByName(kept, allowMissingColumns=True)
@@ -116,7 +116,7 @@ def snapshot(lines: DataFrame, scans: DataFrame, with_alerts: bool = True, gone_
 
     totals = scans.groupBy("watch", "source").agg(F.max("complete_through").alias("total_complete"))
     first = F.col("first_seen") if "first_seen" in lines.columns else F.lit(None).cast("timestamp")
-    last = F.struct(*LAST_SEEN_COLS, F.col("scan_id").alias("last_scan_id"), F.col("seen_at").alias("last_seen"),
+    last = F.struct(*[c for c in LAST_SEEN_COLS if c in lines.columns], F.col("scan_id").alias("last_scan_id"), F.col("seen_at").alias("last_seen"),
                     F.col("merged_status").alias("seen_status"), "complete_through")
     old_point, old_count = (F.col("last_point"), F.col("price_points")) if "last_point" in lines.columns else (None, None)
     fresh = F.when(is_price_point(), F.struct("seen_at", "obs_id", "unit_cents", "model", "family"))
