@@ -112,5 +112,44 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score
 FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
 WHERE rank <= 5
+""",
+    "op7_repeats": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)
+), r AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p
+  FROM s JOIN (SELECT win FROM s GROUP BY win HAVING count(*) > 1) USING (win)
+), k AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.p) FILTER (WHERE r.p IS NULL) AS kept, count(r.p) AS gone
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) a LEFT JOIN r ON r.doc_id = a.doc_id AND r.p = a.p GROUP BY a.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+""",
+    "op9_contamination": r"""
+WITH low AS (
+  SELECT 0 AS side, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 1, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), w AS (
+  SELECT side, id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM low
+), g AS (
+  SELECT DISTINCT id AS item, size, array_to_string(ws[i:i + size - 1], ' ') AS win
+  FROM (SELECT id, ws, least(13, len(ws)) AS size, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM w WHERE side = 1 AND len(ws) > 0)
+), s AS (
+  SELECT id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS win
+  FROM (SELECT id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w CROSS JOIN (SELECT DISTINCT size FROM g) WHERE side = 0)
+), h AS (
+  SELECT id, item, s.size, i FROM s JOIN g ON g.win = s.win AND g.size = s.size
+), n AS (
+  SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + size)) AS p FROM h) GROUP BY id
+), m AS (
+  SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS item FROM h WHERE item IS NOT NULL) GROUP BY id
+)
+SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN n ON n.id = w.id LEFT JOIN m ON m.id = w.id WHERE side = 0
 """,
 }
