@@ -8,6 +8,8 @@ threshold. Each text is one row throughout; nothing is exploded but the samples'
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,18 @@ FIRST, SYMBOLS, TOKEN_SYMBOLS = 33, 94, 67  # printable ASCII; those of TOKEN
 #: Least log-likelihood ratio (natural logarithm) of a secret.
 LEAST_RATIO = 12.0
 MASK = "[secret]"
+#: Ordinary identifiers by their form: parts of letters in one or in mixed case, up to four digits behind each or as a later part,
+#: one separator between two; or separators alone. Possessive throughout, so that long tokens take no stack.
+PART = r"(?:(?:[A-Z]{0,5}+[a-z]{2,}+)++|[A-Z]{2,}+)[0-9]{0,4}+"
+ORDINARY = rf"^(?:{PART}(?:[-_/=+](?:{PART}|[0-9]{{1,4}}+))*+|[-_/=+]++)$"
+#: Ordinary identifiers that every model knows, for a corpus may hold none of their forms.
+KNOWN = ("home/user/documents/report", "usr/local/share/fonts", "www/images/2023/photo", "easy-to-read-manual", "made-in-germany", "Nord-Sud-Verbindung",
+         "new_item_count", "first_name_last_name", "order_id_2019", "MIN_PAGE_WIDTH", "ERROR_NOT_FOUND", "DEFAULT_TIMEOUT_MS", "parseRequestHeader",
+         "HttpClientFactory", "windowSizeLimit", "2021-11-08", "1999-12-31_10-45-00", "version-3-2-17", "IMG_20180604_153012", "name=value",
+         "left+right", "----------------", "================", "________________")
+#: Shares of the identifiers' model: pairs of the samples, their single characters, pairs of KNOWN; the rest is uniform. The random
+#: strings' pairs and single characters have the first two. They weigh shares of counts, so the number of samples changes no verdict.
+PAIRS, SINGLES, KNOWN_PAIRS = 0.75, 0.13, 0.05
 
 
 def _spans(text: Column, matches: Column, pattern: str, kept: Column) -> Column:
@@ -66,31 +80,45 @@ def scan(listings: DataFrame, text: str) -> DataFrame:
 
 
 def samples(scanned: DataFrame, text: str) -> DataFrame:
-    """(sample, secret): labelled strings of a scanned frame. Base spans are secrets, tokens of letters alone are not."""
+    """(sample, secret): labelled strings of a scanned frame. Base spans are secrets, tokens of the form ORDINARY are not."""
     found = F.transform(F.concat("access", "hex"), lambda s: F.struct(F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]).alias("sample"), F.lit(True).alias("secret")))
-    plain = F.transform(F.filter("tokens", lambda t: t["token"].rlike("^[A-Za-z]+$")), lambda t: F.struct(t["token"].alias("sample"), F.lit(False).alias("secret")))
+    plain = F.transform(F.filter("tokens", lambda t: t["token"].rlike(ORDINARY)), lambda t: F.struct(t["token"].alias("sample"), F.lit(False).alias("secret")))
     return scanned.select(F.explode(F.concat(found, plain)).alias("s")).select("s.*")
 
 
+def _shares(table: dict[int, int]) -> tuple[list[float | None], list[float]]:
+    """Shares of pairs among those of the same first character (None where there are none), of second characters among all."""
+    first, second = [0] * SYMBOLS, [0] * SYMBOLS
+    for pair, n in table.items():
+        first[pair // SYMBOLS] += n
+        second[pair % SYMBOLS] += n
+    every = sum(second)
+    pairs = [table.get(p, 0) / first[p // SYMBOLS] if first[p // SYMBOLS] else None for p in range(SYMBOLS * SYMBOLS)]
+    return pairs, [n / every if every else 1 / TOKEN_SYMBOLS for n in second]
+
+
 def train(labelled: DataFrame) -> list[float]:
     """Log-likelihood ratio of every transition, random string against ordinary identifier, from (sample, secret).
 
-    Transitions are counted over all samples and smoothed towards the frequency of the second character, that towards a uniform
-    one; no samples of a kind leave its model uniform. The random strings' model is mixed half and half with a uniform one, for
-    their alphabets differ from kind to kind."""
+    Transitions are counted over all samples. A model is a mix of fixed shares: of the transitions, of the frequency of the second
+    character and of a uniform model, for identifiers also of KNOWN; so the ratios depend on the samples' proportions, not on their
+    number. A first character without transitions counts as any; no samples of a kind leave it uniform. The random strings' model is
+    mixed half and half with a uniform one, for their alphabets differ from kind to kind."""
     code = lambda i: F.ascii(F.substring(F.col("sample"), i, F.lit(1))) - FIRST
     steps = F.transform(F.sequence(F.lit(1), F.length("sample") - 1), lambda i: code(i) * SYMBOLS + code(i + 1))
     counts = (labelled.where(F.length("sample") > 1).select("secret", F.explode(steps).alias("step"))
               .groupBy("secret", "step").count().collect())  # two rows for each pair of symbols at most
-    table = {(r["secret"], r["step"]): r["count"] for r in counts}
-    kinds, symbols, ratios = (True, False), range(SYMBOLS), []
-    single = {(s, b): sum(table.get((s, a * SYMBOLS + b), 0) for a in symbols) + 1 for s in kinds for b in symbols}
-    every = {s: sum(single[s, b] for b in symbols) - SYMBOLS + TOKEN_SYMBOLS for s in kinds}
-    for a in symbols:
-        total = {s: sum(table.get((s, a * SYMBOLS + b), 0) for b in symbols) + TOKEN_SYMBOLS for s in kinds}
-        for b in symbols:
-            share = {s: (table.get((s, a * SYMBOLS + b), 0) + TOKEN_SYMBOLS * single[s, b] / every[s]) / total[s] for s in kinds}
-            ratios.append(math.log((share[True] + 1 / TOKEN_SYMBOLS) / 2) - math.log(share[False]))
+    known = Counter((ord(a) - FIRST) * SYMBOLS + ord(b) - FIRST for k in KNOWN for a, b in pairwise(k))
+    (random, random_single), (plain, plain_single), (given, given_single) = map(
+        _shares, ({r["step"]: r["count"] for r in counts if r["secret"]}, {r["step"]: r["count"] for r in counts if not r["secret"]}, known))
+    uniform, ratios = 1 / TOKEN_SYMBOLS, []
+    for pair in range(SYMBOLS * SYMBOLS):
+        b = pair % SYMBOLS
+        of = lambda pairs, single: single[b] if pairs[pair] is None else pairs[pair]  # noqa: B023, E731
+        secret = PAIRS * of(random, random_single) + SINGLES * random_single[b] + (1 - PAIRS - SINGLES) * uniform
+        ordinary = (PAIRS * of(plain, plain_single) + SINGLES * plain_single[b] + KNOWN_PAIRS * of(given, given_single)
+                    + (1 - PAIRS - SINGLES - KNOWN_PAIRS) * uniform)
+        ratios.append(math.log((secret + uniform) / 2) - math.log(ordinary))
     return ratios
 
 

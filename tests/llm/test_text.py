@@ -115,6 +115,28 @@ def test_masking_takes_secrets_out(spark):
     assert secrets.mask_secrets(rows.limit(0)).count() == 0
 
 
+def test_secrets_do_not_depend_on_the_number_of_samples(spark):
+    rng = random.Random(5)
+    ordinary = [w for t in read_listings(spark, SF).limit(40).collect() for w in re.findall("[a-z]{8,}", t.description or "")][:600]
+    labelled = [(w, False) for w in ordinary] + [("".join(rng.choices("0123456789abcdef", k=32)), True) for _ in range(40)]
+    few = spark.createDataFrame(labelled, "sample string, secret boolean")
+    once, often = secrets.train(few), secrets.train(few.crossJoin(spark.range(1000)))
+    assert np.allclose(once, often, rtol=0, atol=1e-9)
+    ratio = lambda t: sum(once[(ord(a) - 33) * 94 + ord(b) - 33] for a, b in zip(t, t[1:]))
+    for t in ("src/main/java/util", "state-of-the-art-design", "get_user_account_name", "customer-service-team", "----------------------"):
+        assert ratio(t) < secrets.LEAST_RATIO, t
+    for t in ("7f3a9c01b4e85d26", "9fK2xQ7vLp0ZtR4mWc8B", "4952935900253052"):
+        assert ratio(t) >= secrets.LEAST_RATIO, t
+
+
+def test_labelled_identifiers_hold_separators_digits_and_case(spark):
+    ordinary = ["src/main/java/util2", "MAX_BUFFER_SIZE_1", "parseHTTPHeaderLine", "state-of-the-art-design", "================", "ab-" * 9000 + "ab"]
+    others = ["9fK2xQ7vLp0ZtR4mWc8B", "dGVzdGluZ3Rlc3Rpbmc=", "49529359002530521"]
+    scanned = secrets.scan(frame(spark, ordinary + others), "description")
+    found = secrets.samples(scanned, "description").collect()
+    assert sorted(r["sample"] for r in found if not r["secret"]) == sorted(ordinary)
+
+
 def plain_contamination(texts, items):
     word = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
