@@ -1,85 +1,129 @@
 """Training sequences of related listings: lexical retrieval packing.
 
-Listings are dealt into shards of about SHARD rows. A shard holds a BM25 inverted index of its listings, with token ids as terms.
-A seed opens a window; the index returns its unused neighbours, best first, and they fill the window. What does not fit of the
-last one opens the next window and is its seed. So windows are full but for a shard's last, whose tokens are laid into sequences
-of power-of-two lengths, which need no padding.
+Listings are sorted by their rarest terms that others have, too, and cut into shards of about SHARD rows; token ids are the terms.
+So copies and listings that share rare terms are of one shard. A shard holds a BM25 inverted index of its listings, weighted by
+document frequencies and lengths of all listings. A seed opens a window; the index returns its unused neighbours, best first, and
+they fill the window. What does not fit of the last one opens the next window and is its seed. So windows are full but for a
+shard's last, whose tokens are laid into sequences of power-of-two lengths, which need no padding.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from pricelens.llm.common import cut
 from pricelens.llm.tokens import END, encoded, tokenizer_path
 
 SHARD = 4096
-#: BM25's constants; terms of a seed that are looked up (those of most weight in it); neighbours asked for at a time.
-K1, B, TERMS, NEIGHBOURS = 1.2, 0.75, 16, 16
+#: BM25's constants; neighbours asked for at a time. Terms of more than one in DENSE of a shard's listings have full rows of weights.
+K1, B, NEIGHBOURS, DENSE = 1.2, 0.75, 16, 16
 SHARD_BITS = 32
 
 
+@dataclass
+class Corpus:
+    """What BM25 has to know of all listings: their number, mean length, and number of listings by term."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def ranks(self) -> np.ndarray:
+        """Place of each term from the most frequent to the rarest; -1 for terms of a single listing, which relate it to none."""
+        ranks = np.empty(len(self.df), dtype=np.int32)
+        ranks[np.argsort(-self.df, kind="stable")] = np.arange(len(self.df), dtype=np.int32)
+        ranks[self.df < 2] = -1
+        return ranks
+
+
+def distinct(document: np.ndarray) -> np.ndarray:
+    found = np.sort(document)
+    return found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found
+
+
+def rarest(documents: list[np.ndarray], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Highest and second highest rank of each document's terms; documents are not empty."""
+    sizes = np.array([len(d) for d in documents])
+    starts = np.cumsum(sizes) - sizes
+    rank = ranks[np.concatenate(documents)]
+    first = np.maximum.reduceat(rank, starts)
+    rank[rank == np.repeat(first, sizes)] = -1
+    return first, np.maximum.reduceat(rank, starts)
+
+
 class Index:
-    """BM25 inverted index of the listings of a shard."""
+    """BM25 inverted index of the listings of a shard, which are all listings where nothing is known of a corpus."""
 
-    def __init__(self, documents: list[np.ndarray]):
-        n = len(documents)
+    def __init__(self, documents: list[np.ndarray], corpus: Corpus | None = None):
         counted = [np.unique(d, return_counts=True) for d in documents]
         sizes = np.array([len(t) for t, _ in counted])
         term = np.concatenate([t for t, _ in counted])
         tf = np.concatenate([c for _, c in counted]).astype(np.float32)
         self.start = np.r_[0, np.cumsum(sizes)]
-        row = np.repeat(np.arange(n), sizes)
-        df = np.bincount(term)
+        row = np.repeat(np.arange(len(documents)), sizes)
+        here = np.bincount(term)
         length = np.array([len(d) for d in documents], dtype=np.float32)
-        norm = K1 * (1 - B + B * length / max(1.0, float(length.mean())))
-        weight = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5)).astype(np.float32) * tf * (K1 + 1) / (tf + norm[row])
-        self.term, self.weight = term, weight  # by listing
+        corpus = corpus or Corpus(len(documents), float(length.mean()), here)
+        norm = (K1 * (1 - B + B * length / max(1.0, corpus.mean))).astype(np.float32)
+        idf = np.log1p((corpus.n - corpus.df + 0.5) / (corpus.df + 0.5)).astype(np.float32)
+        weight = idf[term] * tf * np.float32(K1 + 1) / (tf + norm[row])
+        self.term = term  # by listing
         order = np.argsort(term, kind="stable")
         self.rows, self.weights = row[order], weight[order]  # by term
-        self.postings = np.r_[0, np.cumsum(df)]
-        self.unused = np.ones(n, dtype=bool)
-
-    def neighbours(self, seed: int) -> list[int]:
-        """Unused listings that share terms with the seed, by score, then by place."""
-        mine = slice(self.start[seed], self.start[seed + 1])
-        terms, weight = self.term[mine], self.weight[mine]
-        if len(terms) > TERMS:
-            terms = terms[np.argpartition(-weight, TERMS)[:TERMS]]
-        score = np.zeros(len(self.unused), dtype=np.float32)
-        for t in np.sort(terms):
-            found = slice(self.postings[t], self.postings[t + 1])
-            score[self.rows[found]] += self.weights[found]
-        score *= self.unused
-        some = np.flatnonzero(score)
+        self.postings = np.r_[0, np.cumsum(here)]
+        often = np.flatnonzero(here > len(documents) / DENSE)
+        self.dense = np.zeros((len(often), len(documents)), dtype=np.float32)
+        self.place = np.full(len(here), -1)
+        self.place[often] = np.arange(len(often))
+        at = self.place[term]
+        self.dense[at[at >= 0], row[at >= 0]] = weight[at >= 0]
+        self.unused = np.ones(len(documents), dtype=bool)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Of all listings, by all terms of the seed."""
+        terms = self.term[self.start[seed]:self.start[seed + 1]]
+        at = self.place[terms]
+        score = self.dense[at[at >= 0]].sum(axis=0)
+        for t in terms[at < 0].tolist():
+            a, b = self.postings[t], self.postings[t + 1]
+            if b - a > 1:  # others have it, too
+                score[self.rows[a:b]] += self.weights[a:b]
+        return score
+
+    def neighbours(self, score: np.ndarray) -> list[int]:
+        """Unused listings by score, then by place; those that share nothing with the seed are none."""
+        some = np.flatnonzero((score > 0) & self.unused)
         if len(some) > NEIGHBOURS:
             least = np.partition(score[some], -NEIGHBOURS)[-NEIGHBOURS]
             some = some[score[some] >= least]
         return some[np.argsort(-score[some], kind="stable")][:NEIGHBOURS].tolist()
 
 
-def order(documents: list[np.ndarray], window: int) -> Iterator[int]:
+def order(documents: list[np.ndarray], window: int, corpus: Corpus | None = None) -> Iterator[int]:
     """Rows of a shard in the order in which they are laid down."""
-    index = Index(documents)
-    room, first, queue = window, 0, []
+    index = Index(documents, corpus)
+    room, first, queue, score = window, 0, [], None
     for _ in documents:
+        queue = queue or ([] if score is None else index.neighbours(score))  # the seed is asked again while it has neighbours
         if queue:
             row = queue.pop(0)
         else:  # nothing related is left: the first unused listing is the next seed
             first += int(index.unused[first:].argmax())
-            row = first
+            row, score = first, index.scores(first)
         index.unused[row] = False
         yield row
         room -= len(documents[row])
-        if room <= 0 or not queue:  # what is left of this one opens the next window
-            room = room if room > 0 else window - (-room) % window
-            queue = index.neighbours(row)
+        if room <= 0:  # what is left of this one opens the next window
+            room, queue, score = window - (-room) % window, [], index.scores(row)
 
 
 def pieces(sizes: list[int], window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -114,14 +158,45 @@ def pack(listings: DataFrame, key: str = "obs_id", text: str = "description", wi
     """
     path = path or tokenizer_path()
     kind = listings.schema[key].dataType.simpleString()
-    shards = max(1, -(-listings.count() // shard_rows))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids in (x for batch in batches for x in encoded(batch, 2, path)):
+        """Ids of the listings; at the end one row of width 0 with the task's listings, tokens and listings by term."""
+        df, n, total = np.zeros(0, dtype=np.int64), 0, 0
+        for part, ids in (x for batch in batches for x in encoded(batch, 1, path)):
             ids = [np.append(i, np.uint32(END)) for i in ids]
             small = "<u2" if all(int(i.max()) < 1 << 16 for i in ids) else "<u4"
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.astype(small).tobytes() for i in ids], pa.binary()),
-                                              pa.array([int(small[-1])] * len(ids), pa.int8())], names=["id", "shard", "ids", "width"])
+            ids = [i.astype(small) for i in ids]
+            found = np.bincount(np.concatenate([distinct(i) for i in ids]), minlength=len(df))
+            found[:len(df)] += df
+            df, n, total = found, n + len(ids), total + sum(map(len, ids))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i.tobytes() for i in ids], pa.binary()),
+                                              pa.array([int(small[-1])] * len(ids), pa.int8())], names=["id", "ids", "width"])
+        if n:
+            terms = np.flatnonzero(df)
+            counts = np.concatenate(([[-2, n], [-1, total]], np.c_[terms, df[terms]])).astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([None], held_type), pa.array([counts.tobytes()], pa.binary()), pa.array([0], pa.int8())],
+                                             names=["id", "ids", "width"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                counts = np.frombuffer(packed, dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["term", "n"])
+
+    held_type = to_arrow_type(listings.schema[key].dataType)
+    tokens = cut(listings.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(tokenize, f"id {kind}, ids binary, width tinyint"))
+    counted = dict(tokens.where("width = 0").select("ids").mapInArrow(unpack, "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # as the vocabulary at most
+    n, total = counted.pop(-2, 0), counted.pop(-1, 0)
+    df = np.zeros(max(counted, default=0) + 1, dtype=np.int64)
+    df[list(counted)] = list(counted.values())
+    corpus = Corpus(n, total / max(1, n), df)
+    ranks, shards = corpus.ranks(), max(1, -(-n // shard_rows))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                documents = [np.frombuffer(b, dtype=f"<u{w}") for b, w in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, rarest(documents, ranks))], names=[*batch.schema.names, "first", "second"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]  # a shard's listings, bounded by its size
@@ -132,7 +207,7 @@ def pack(listings: DataFrame, key: str = "obs_id", text: str = "description", wi
             part = table.filter(pa.compute.equal(table["shard"], shard))
             rows = sorted(zip(part["id"].to_pylist(), part["ids"].to_pylist(), part["width"].to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
             documents = [np.frombuffer(b, dtype=f"<u{w}") for _, b, w in rows]
-            laid = list(order(documents, window))
+            laid = list(order(documents, window, corpus))
             types = [part.schema.field("id").type, *[pa.int64()] * 6, pa.binary()]
 
             def cut(found: Iterator[tuple], documents=documents, laid=laid, rows=rows, shard=shard) -> Iterator[tuple]:
@@ -144,10 +219,10 @@ def pack(listings: DataFrame, key: str = "obs_id", text: str = "description", wi
             for some in batched(cut(pieces([len(documents[i]) for i in laid], window)), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=NAMES)
 
-    dealt = listings.select(F.col(key).alias("id"), F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"),
-                            F.col(text).alias("text"))
-    tokens = dealt.mapInArrow(tokenize, f"id {kind}, shard int, ids binary, width tinyint")
-    return tokens.repartitionById(shards, F.col("shard")).mapInArrow(
+    placed = tokens.where("width > 0").mapInArrow(place, f"id {kind}, ids binary, width tinyint, first int, second int")
+    # copies stand side by side, and however many there are, a shard's bounds may part them
+    dealt = placed.repartitionByRange(shards, "first", "second", F.xxhash64("ids"), F.xxhash64("id", F.monotonically_increasing_id()))
+    return dealt.select("id", F.spark_partition_id().alias("shard"), "ids", "width").mapInArrow(
         lay, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary").withColumnRenamed("id", key)
 
 

@@ -262,6 +262,36 @@ def test_related_listings_are_packed_together():
     assert laid[0] == 0 and set(laid[1:3]) == {2, 4} and set(laid[3:]) == {1, 3}
 
 
+def test_copies_meet_in_a_window(spark):
+    rng = random.Random(3)
+    words = sorted({w for r in read_listings(spark, SF).limit(100).collect() for w in re.findall("[a-z]{4,}", r.description or "")})
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(400)]
+    rows = frame(spark, texts + texts)
+    found = packing.pack(rows, shard_rows=80).toPandas()
+    shard = dict(zip(found["obs_id"], found["sequence_id"].to_numpy() >> packing.SHARD_BITS))
+    assert len(set(shard.values())) >= 8
+    assert sum(shard[i] == shard[i + 400] for i in range(400)) >= 380  # a shard's bounds may part a pair
+    windows = found.groupby("obs_id")["sequence_id"].agg(set)
+    assert sum(bool(windows[i] & windows[i + 400]) for i in range(400)) >= 320
+
+
+def test_a_seed_is_asked_again_and_by_all_of_its_terms():
+    common = [np.array([7] + [1000 + 40 * i + k for k in range(20)]) for i in range(60)]
+    seed = np.arange(7, 27)  # rarer terms than 7, which alone is shared, and more than sixteen
+    others = [np.arange(90_000 + 40 * i, 90_020 + 40 * i) for i in range(60)]
+    rows = [seed] + [x for pair in zip(others, common) for x in pair] + [np.arange(8, 27)]
+    laid = list(packing.order(rows, 1 << 20))
+    assert set(laid[:62]) == {0, len(rows) - 1} | set(range(2, len(rows) - 1, 2))
+
+
+def test_frequencies_are_those_of_the_corpus():
+    a, b, c = np.array([1, 2]), np.array([1, 3]), np.array([2, 4])
+    corpus = packing.Corpus(1000, 2.0, np.array([0, 900, 5, 5, 5]))
+    assert list(packing.order([a, b, c], 100, corpus))[:2] == [0, 2]
+    corpus = packing.Corpus(1000, 2.0, np.array([0, 5, 900, 5, 5]))
+    assert list(packing.order([a, b, c], 100, corpus))[:2] == [0, 1]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
     from test_dedup import plain_components, plain_fingerprint
