@@ -19,6 +19,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def planned(df: DataFrame) -> DataFrame:
+    """The same rows with the partitions that a scan gets now: whatever is made of them later, whichever executors there are then,
+    sees the same rows in the same partitions and places. Nothing is stored."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import cut, remainder
+from pricelens.llm.common import cut, planned, remainder
 from pricelens.llm.decontamination import contamination
 from pricelens.llm.language import identify
 from pricelens.llm.language_model import score
@@ -49,15 +49,18 @@ def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, counted in flat files of all documents; a file's number and place give the doc_id back."""
-    rows = read_listings(spark, sf_dir)
+    documents = read_listings(spark, sf_dir)
+    rows = planned(documents)
     folder = shared_folder(spark, "tokens")
     write_tokens(rows, folder)
-    place = F.monotonically_increasing_id()  # partition and place in it, as the files were written from the same scan
+    place = F.monotonically_increasing_id()  # partition and place in it, as the files were written from the same partitions
     keys = rows.select("obs_id", F.shiftright(place, 33).alias("number"), place.bitwiseAND((1 << 33) - 1).alias("document"))
     counts = token_counts(spark, folder).withColumn("number", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long"))
     found = cut(keys.join(counts, ["number", "document"]).select(F.col("obs_id").alias("doc_id"), "n_tokens"))
     files = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files.getFileSystem(spark._jsc.hadoopConfiguration()).delete(files, True)
+    if (n := found.count()) != (wanted := documents.count()):
+        raise RuntimeError(f"{n} token counts for {wanted} documents")
     return found
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pricelens.llm import decontamination, language, language_model, packing, quality, secrets, token_counts, tokens
+from pricelens.llm import decontamination, language, language_model, packing, quality, queries, secrets, token_counts, tokens
 from pricelens.llm.common import remainder
 from pricelens.llm.queries import read_listings
 from pricelens.session import shared_folder
@@ -237,6 +237,27 @@ def test_token_counts_of_cut_files(spark, tmp_path):
             ("a.bin", 0, 0, True), ("a.bin", 1, 1, True), ("a.bin", 2, 0, True), ("a.bin", 3, 3, False), ("c.bin", 0, 10, True)]
 
 
+def test_token_counts_survive_another_cut_of_the_scan(spark, tmp_path, monkeypatch):
+    texts = [f"mot{i} " * (i % 37) for i in range(400)]
+    frame(spark, texts).selectExpr("obs_id as doc_id", "description as text", "'fr' as lang").repartition(16).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {r.doc_id: r.n_tokens for r in queries.op4_token_counts(spark, str(tmp_path)).collect()}
+    write = queries.write_tokens
+
+    def written(rows, folder):
+        write(rows, folder)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")  # as if executors had gone meanwhile
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+    monkeypatch.setattr(queries, "write_tokens", written)
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")}
+    try:
+        found = {r.doc_id: r.n_tokens for r in queries.op4_token_counts(spark, str(tmp_path)).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(want) == len(texts) and found == want
+
+
 def test_packing_is_an_exact_round_trip(spark):
     plain = Tokenizer.from_file(tokens.tokenizer_path())
     texts = ODD + [r.description for r in read_listings(spark, SF).limit(60).collect()]
