@@ -11,6 +11,7 @@ from pricelens.llm.common import cut, planned, remainder
 from pricelens.llm.decontamination import contamination
 from pricelens.llm.language import identify
 from pricelens.llm.language_model import score
+from pricelens.llm.lexical_search import ranked_search
 from pricelens.llm.nearest import nearest
 from pricelens.llm.packing import pack
 from pricelens.llm.quality import quality
@@ -101,7 +102,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("obs_id").alias("doc_id"), held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op2_language_model, op3_nearest_vectors, op4_token_counts, op5_quality, op6_packing, op7_repeats, op8_secrets, op9_contamination, op10_language)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    searches = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("search_key"), F.col("text").alias("query"))
+    return ranked_search(read_listings(spark, sf_dir), searches).withColumnsRenamed({"search_key": "item_id", "obs_id": "doc_id"})
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_near_duplicates, op2_language_model, op3_nearest_vectors, op4_token_counts, op5_quality, op6_packing, op7_repeats, op8_secrets, op9_contamination,
+    op10_language, op13_lexical_search)}
 ORACLE: dict[str, str] = {
     "op3_nearest_vectors": """
 WITH v AS (
@@ -154,5 +162,28 @@ WITH low AS (
 SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN n ON n.id = w.id LEFT JOIN m ON m.id = w.id WHERE side = 0
+""",
+    "op13_lexical_search": r"""
+WITH low AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), t AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM low
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM t WHERE side = 0 AND len(ts) > 0
+), i AS (
+  SELECT id AS item_id, unnest(list_distinct(ts)) AS term FROM t WHERE side = 1
+), p AS (
+  SELECT id AS doc_id, n, term, count(*) AS tf FROM (SELECT id, len(ts) AS n, unnest(ts) AS term FROM t WHERE side = 0) GROUP BY ALL
+), f AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p CROSS JOIN s WHERE term IN (SELECT term FROM i) GROUP BY term, docs
+), r AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total))))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN p USING (term) CROSS JOIN s GROUP BY item_id, doc_id
+)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM r WHERE score > 0)
+WHERE rank <= 10
 """,
 }
