@@ -25,7 +25,7 @@ from pricelens.llm.common import cut, text_bytes
 
 TOP = 10
 #: A shard ends at so many listings or entries; searches of one block have so many bytes; ranges are halved so many at a time.
-SHARD, ENTRIES, BLOCK_BYTES, TOGETHER = 8192, 2_000_000, 4 << 20, 16
+SHARD, ENTRIES, BLOCK_BYTES, TOGETHER = 16384, 2_000_000, 4 << 20, 256
 #: Texts that a task splits at a time; parts of the last ranking before it is made whole.
 SLICE, PARTS = 512, 64
 SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -83,8 +83,10 @@ class Treap:
     """Compressed quadtree of greatest values over a grid of rows and columns. Cell 0 stands for all empty ones, cell 1 is the root."""
 
     def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray):
-        self.height = max(1, int(max(rows.max(), columns.max())).bit_length())
-        code = (_spread(rows) << np.uint64(1)) | _spread(columns)
+        size = [int(x.max()).bit_length() for x in (rows, columns)]
+        self.height = max(1, *size)
+        self.shift = self.height - max(1, size[0])  # few rows lie far apart: paths reach them while ranges of columns are still wide
+        code = (_spread(rows << self.shift) << np.uint64(1)) | _spread(columns)
         order = np.argsort(code, kind="stable")
         code, best = code[order], values[order]
         levels = [(best, np.zeros(len(best), dtype=np.int64), np.zeros(len(best), dtype=np.int64))]
@@ -104,30 +106,25 @@ class Treap:
         return np.where((mask >> which) & 1, self.first[cells] + BITS[mask & ((1 << which) - 1)], 0)
 
     def best_columns(self, rows: np.ndarray, least: int, top: int, offer) -> None:
-        """Calls offer(columns, scores), which returns the least score that still counts, with columns best first, roughly."""
-        root = np.ones(len(rows), dtype=np.int64)
-        heap = [(-int(self.best[1]) * len(rows), 0, 0, root)]
-        while heap and -heap[0][0] >= least:
-            some = []
-            while heap and len(some) < TOGETHER and -heap[0][0] >= least:
-                some.append(heapq.heappop(heap))
-            level = np.array([s[1] for s in some])
-            cells = np.stack([s[3] for s in some])
-            low = ((rows[None, :] >> (self.height - 1 - level)[:, None]) & 1) << 1
-            halves = [self.quarter(cells, low | side) for side in (0, 1)]
-            done = level + 1 == self.height
-            columns, scores = [], []
-            for side, half in enumerate(halves):
-                bound = self.best[half].sum(axis=1)
-                for i in np.flatnonzero((bound >= least) & (bound > 0)).tolist():
-                    column = 2 * some[i][2] + side
-                    if done[i]:
-                        columns.append(column)
-                        scores.append(int(bound[i]))
-                    else:
-                        heapq.heappush(heap, (-int(bound[i]), int(level[i]) + 1, column, half[i]))
-            if columns:
-                least = offer(columns, scores)
+        """Calls offer(columns, scores), which returns the least score that still counts, for the columns of the best ranges first."""
+        cells, bound = np.ones((1, len(rows)), dtype=np.int64), self.best[1:2] * len(rows)
+        level, column = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        rows = rows << self.shift
+        while len(bound):
+            some = np.argpartition(-bound, TOGETHER)[:TOGETHER] if len(bound) > TOGETHER else np.arange(len(bound))
+            bit = self.height - 1 - level[some]
+            low = ((rows[None, :] >> bit[:, None]) & 1) << 1
+            halves = np.concatenate([self.quarter(cells[some], low | side) for side in (0, 1)])
+            reached = self.best[halves].sum(axis=1)
+            into, last = np.concatenate([2 * column[some], 2 * column[some] + 1]), np.r_[bit, bit] == 0
+            if (found := np.flatnonzero(last & (reached >= least) & (reached > 0))).size:
+                least = offer(into[found], reached[found])
+            new = ~last & (reached >= least) & (reached > 0)
+            old = bound >= least
+            old[some] = False
+            cells = np.concatenate([cells[old], halves[new]])
+            bound, column = np.r_[bound[old], reached[new]], np.r_[column[old], into[new]]
+            level = np.r_[level[old], np.r_[level[some], level[some]][new] + 1]
 
 
 def _by_key(key) -> tuple:
@@ -144,8 +141,8 @@ class Best:
         found = self.found[search]
         return found[-1][0] if len(found) == self.top else 1
 
-    def offer(self, search: int, keys: list, scores: list[int]) -> int:
-        every = self.found[search] + list(zip(scores, keys))
+    def offer(self, search: int, keys: list, scores: np.ndarray) -> int:
+        every = self.found[search] + list(zip(scores.tolist(), keys))
         self.found[search] = sorted(every, key=lambda x: (-x[0], _by_key(x[1])))[:self.top]
         return self.least(search)
 
@@ -177,7 +174,7 @@ def search_shard(shard: list[tuple[object, int, bytes, bytes]], searches: Search
     keys = [shard[i][0] for i in order.tolist()]
     for i, rows in enumerate(searches.rows):
         if len(rows):
-            treap.best_columns(place[rows], best.least(i), best.top, lambda columns, scores, i=i: best.offer(i, [keys[c] for c in columns], scores))
+            treap.best_columns(place[rows], best.least(i), best.top, lambda columns, scores, i=i: best.offer(i, [keys[c] for c in columns.tolist()], scores))
 
 
 def ranked_search(listings: DataFrame, searches: DataFrame, key: str = "obs_id", text: str = "description", search_key: str = "search_key",

@@ -91,7 +91,8 @@ def test_cells_hold_the_greatest_values_below_them():
                 assert treap.best[cells[c]] == (values[inside].max() if inside.any() else 0)
 
 
-def test_best_ranges_alone_are_halved():
+def test_best_ranges_alone_are_halved(monkeypatch):
+    monkeypatch.setattr(lexical_search, "TOGETHER", 8)
     n = 4096
     rows, columns = np.repeat([0, 1, 2], n), np.tile(np.arange(n), 3)
     values = np.where(columns % 512 == 5, 1000, 1)
@@ -105,15 +106,12 @@ def test_best_ranges_alone_are_halved():
         return quarter(self, cells, which)
 
     def offer(columns, scores):
-        seen.extend(zip(scores, columns))
+        seen.extend(zip(scores.tolist(), columns.tolist()))
         best = sorted(seen, reverse=True)[:8]
         return best[-1][0] if len(best) == 8 else 1
 
-    Treap.quarter = counted
-    try:
-        treap.best_columns(np.array([0, 1, 2]), 1, 8, offer)
-    finally:
-        Treap.quarter = quarter
+    monkeypatch.setattr(Treap, "quarter", counted)
+    treap.best_columns(np.array([0, 1, 2]), 1, 8, offer)
     assert sorted(c for s, c in seen if s == 3000) == list(range(5, n, 512)) and asked < 1000
 
 
