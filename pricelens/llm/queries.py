@@ -14,6 +14,7 @@ from pricelens.llm.language_model import score
 from pricelens.llm.lexical_search import ranked_search
 from pricelens.llm.nearest import nearest
 from pricelens.llm.packing import pack
+from pricelens.llm.prefix_trie import borrowed_beginnings, prefix_trie, threads
 from pricelens.llm.quality import quality
 from pricelens.llm.repeats import remove_repeats
 from pricelens.llm.secrets import BASE, find_secrets, scan, written
@@ -102,6 +103,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("obs_id").alias("doc_id"), held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("topic_id"), F.col("turn").alias("line_no"), F.col("role").alias("author"), "text")
+    return prefix_trie(borrowed_beginnings(threads(lines))).withColumnsRenamed(
+        {"topic": "conv_id", "parent_topic": "parent_conv_id", "n_topics": "n_convs", "saved_chars": "saved_tokens"})
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     searches = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("search_key"), F.col("text").alias("query"))
     return ranked_search(read_listings(spark, sf_dir), searches).withColumnsRenamed({"search_key": "item_id", "obs_id": "doc_id"})
@@ -109,7 +116,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_near_duplicates, op2_language_model, op3_nearest_vectors, op4_token_counts, op5_quality, op6_packing, op7_repeats, op8_secrets, op9_contamination,
-    op10_language, op13_lexical_search)}
+    op10_language, op12_prefix_trie, op13_lexical_search)}
 ORACLE: dict[str, str] = {
     "op3_nearest_vectors": """
 WITH v AS (
@@ -162,6 +169,42 @@ WITH low AS (
 SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN n ON n.id = w.id LEFT JOIN m ON m.id = w.id WHERE side = 0
+""",
+    "op12_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), b AS (  -- crc32 of the decimal id, bit by bit
+  SELECT DISTINCT conv_id, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM t
+), c AS (
+  SELECT conv_id, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda x, y:
+    list_reduce(list_prepend(xor(x, y), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda u, v: xor(u >> 1, (u & 1) * 3988292384)))) % 6 AS h FROM b
+), u AS (
+  SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.i <= h
+  UNION ALL
+  SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > h
+), r AS (
+  SELECT conv_id, row_number() OVER w AS d, length(text) AS size, md5(role) || md5(text) AS line FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), p AS (  -- the node of each first d turns
+  SELECT conv_id, 0 AS d, 0 AS size, '' AS node FROM c
+  UNION ALL
+  SELECT conv_id, d, size, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) FROM r
+), n AS (
+  SELECT node, any_value(d) AS d, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY node
+), e AS (
+  SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends FROM p
+  WHERE (conv_id, d) IN (SELECT conv_id, max(d) FROM p GROUP BY conv_id) GROUP BY node
+), k AS (
+  SELECT n.node, n.conv_id, n.d, n.n_convs, n.size, a.node AS parent FROM n LEFT JOIN p a ON a.conv_id = n.conv_id AND a.d = n.d - 1
+), m AS (
+  SELECT parent AS node, count(*) AS n_children FROM k WHERE parent IS NOT NULL GROUP BY parent
+), s AS (
+  SELECT a.node, sum((k.n_convs - 1) * k.size) AS saved, count(*) FILTER (m.node IS NULL) AS leaves
+  FROM k JOIN p a ON a.conv_id = k.conv_id AND a.d <= k.d LEFT JOIN m ON m.node = k.node GROUP BY a.node
+)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, k.n_convs, coalesce(m.n_children, 0) AS n_children, s.leaves AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM k JOIN s ON s.node = k.node LEFT JOIN m ON m.node = k.node LEFT JOIN e ON e.node = k.node LEFT JOIN n up ON up.node = k.parent
 """,
     "op13_lexical_search": r"""
 WITH low AS (
