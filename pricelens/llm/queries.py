@@ -14,6 +14,9 @@ from pricelens.llm.language_model import score
 from pricelens.llm.lexical_search import ranked_search
 from pricelens.llm.nearest import nearest
 from pricelens.llm.packing import pack
+from pricelens.llm.personal_data import KINDS as PERSONAL
+from pricelens.llm.personal_data import find_personal_data
+from pricelens.llm.personal_data import written as personal_spans
 from pricelens.llm.prefix_trie import borrowed_beginnings, prefix_trie, threads
 from pricelens.llm.quality import quality
 from pricelens.llm.repeats import remove_repeats
@@ -103,6 +106,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("obs_id").alias("doc_id"), held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(read_listings(spark, sf_dir)).select(
+        F.col("obs_id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in PERSONAL],
+        F.sha2(personal_spans(F.concat(*PERSONAL)), 256).alias("base_sha256"), personal_spans(F.concat(*PERSONAL, "added")).alias("spans"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("topic_id"), F.col("turn").alias("line_no"), F.col("role").alias("author"), "text")
     return prefix_trie(borrowed_beginnings(threads(lines))).withColumnsRenamed(
@@ -116,7 +125,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_near_duplicates, op2_language_model, op3_nearest_vectors, op4_token_counts, op5_quality, op6_packing, op7_repeats, op8_secrets, op9_contamination,
-    op10_language, op12_prefix_trie, op13_lexical_search)}
+    op10_language, op11_personal_data, op12_prefix_trie, op13_lexical_search)}
 ORACLE: dict[str, str] = {
     "op3_nearest_vectors": """
 WITH v AS (
