@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.functions.literals import let
 from pricelens.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -87,6 +88,8 @@ def exact(kind: str, match: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
+#: Type of spans with what surrounds them; matches of a part.
+PART = 128
 SPAN = "array<struct<start:int,end:int,match:string,before:string,behind:string>>"
 
 
@@ -103,7 +106,14 @@ def _spans(body: Column, matches: Column, pattern: str, keep) -> Column:
                         F.substring(x["next"], 1, BEHIND).alias("behind"))
         return F.struct(end.alias("at"), F.when(keep(x["match"]), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(rows, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
+    def shifted(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["match"], s["before"], s["behind"]))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["parts"], moved).alias("parts"))
+
+    # an array that grows is copied at each step: short parts first, then their offsets, so that a text's matches cost no square of their number
+    parts = let(rows, lambda r: F.transform(F.sequence(F.lit(1), F.size(r), F.lit(PART)), lambda i: F.aggregate(F.slice(r, i, F.lit(PART)), start, step)))
+    whole = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts")), shifted, lambda acc: F.flatten(acc["parts"]))
+    return F.when(F.size(matches) > 0, whole).otherwise(F.array().cast(SPAN))
 
 
 def _vote(yes: Column | None = None, no: Column | None = None) -> Column:
