@@ -19,7 +19,8 @@ GONE_AFTER = 2
 LAST_SEEN_COLS = ["obs_id", "url", "title", "model", "family", "brand", "verdict", "flags", "price_cents",
                   "shipping_cents", "fees_cents", "delivered_cents", "unit_cents", "quantity", "tier", "priority",
                   "keep", "suspicious", "condition", "seller_name", "seller_rating", "seller_reviews", "location",
-                  "delivery", "posted_at", "secure_payment", "shipping_estimated", "seller_type", "description"]
+                  "delivery", "posted_at", "secure_payment", "shipping_estimated", "seller_type", "description",
+                  "reasons", "attrs", "notes", "tags", "review", "note", "enriched"]
 
 
 def scan_log(observations: DataFrame, complete: Column) -> DataFrame:

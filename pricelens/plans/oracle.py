@@ -196,8 +196,9 @@ CTES["fold"] = CTES["fold"].format(can=CAN_ALERT.format(m="status", review=""),
 RECURSIVE = {"fold"}
 
 
-def compose(final: str, *names: str, extra: dict[str, str] | None = None) -> str:
-    """``WITH`` the named expressions (and what they need), then ``final``."""
+def compose(final: str, *names: str, extra: dict[str, str] | None = None, swap: dict[str, str] | None = None) -> str:
+    """``WITH`` the named expressions (and what they need), then ``final``. ``swap`` replaces bodies for this query alone."""
+    body = CTES | (swap or {})
     done: list[str] = []
 
     def visit(name: str) -> None:
@@ -209,6 +210,6 @@ def compose(final: str, *names: str, extra: dict[str, str] | None = None) -> str
     for n in names:
         visit(n)
     # MATERIALIZED keeps the engine from expanding the shared expressions once per use.
-    bodies = [f"{n} AS ({CTES[n]})" if n in RECURSIVE else f"{n} AS MATERIALIZED ({CTES[n]})" for n in done]
-    bodies += [f"{n} AS ({body})" for n, body in (extra or {}).items()]
+    bodies = [f"{n} AS ({body[n]})" if n in RECURSIVE else f"{n} AS MATERIALIZED ({body[n]})" for n in done]
+    bodies += [f"{n} AS ({x})" for n, x in (extra or {}).items()]
     return ("WITH RECURSIVE " + ",\n".join(bodies) + "\n" if bodies else "") + final
