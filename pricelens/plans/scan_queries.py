@@ -109,7 +109,7 @@ def streamed(spark: SparkSession, sf: str, reviews: DataFrame | None = None) ->
     folder, checkpoint = shared_folder(spark, "arrivals"), shared_folder(spark, "scan-stream-checkpoint")
     lines = table(spark, sf, "lineitem")
     lines = lines.withColumn("arrival", arrival(F.date_add(F.to_date("l_shipdate"), (F.col("l_linenumber") % 3).cast("int"))))
-    pages = fetched_pages(spark, sf).withColumn("arrival", arrival(F.date_add("scan_id", F.when(F.col("items") > 0, 2).otherwise(0))))
+    pages = fetched_pages(spark, sf).withColumn("arrival", arrival(F.col("scan_id")))
     every = joined_stream(lines, pages)
     for n in range(ARRIVALS):
         every.where(F.col("arrival") == n).drop("arrival").write.mode("append").parquet(folder)

@@ -1,9 +1,10 @@
 """The scan loop as a stream of two inputs, sightings and fetched pages, over keyed state.
 
 A micro-batch may hold parts of scans, scans that returned nothing, and rows that come later than those of newer scans. The last
-OPEN scans of each listing stay open: their merged rows are kept beside the state before them, and a batch that adds to one of them folds them
-anew. So the order in which the rows of an open scan arrive, and the batches they arrive in, do not matter. Rows of
-older scans are kept apart in ``late``.
+OPEN scans of each listing stay open: the state is the fold of all older ones beside the merged rows of these, and whoever reads it folds the
+open ones on. So the order in which the rows of an open scan arrive, the batches they arrive in, and when its pages are
+known do not matter. Rows of older scans are kept apart in ``late``. Scans that miss a listing write nothing to it: the scan log tells
+on reading. An alert is judged in the batches that touch its listing, by the pages known then.
 
 Folders under ``root``: ``state`` (see ``KeyedState``), ``scans/v=N`` (facts about scans), ``alerts/v=N`` and ``late/v=N``. A batch that is
 run again rewrites its own version from the same input.
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 from pricelens.operators import history as hi
 from pricelens.operators import reviews as rv
 from pricelens.operators.merging import merge_scan
-from pricelens.operators.scans import SCAN, scan_facts, scan_log_of, with_missed_scans
+from pricelens.operators.scans import SCAN, scan_facts, scan_log_of
 from pricelens.operators.scoring import score, with_prices
 from pricelens.streaming.keyed_state import FAN, KeyedState
 
@@ -87,10 +88,7 @@ class ScanStream:
             is_late = F.coalesce(F.col("scan_id") <= F.col("closed_scan"), F.lit(False))
             rows.where(is_late).drop("closed_scan").write.mode("overwrite").parquet(self.path("late", version))
             rows = rows.where(~is_late).drop("closed_scan")
-        lines = hi.timeline(score(rows, self.watches), scans, base, self.gone_after)
-        if self.reviews is not None:
-            events = self.reviews.join(fresh.select(*KEY).distinct(), KEY, "left_semi")
-            lines = rv.review_at_scan(lines, events, self.review_scan)
+        lines = self._lines(rows, base, scans, None if self.reviews is None else self.reviews.join(fresh.select(*KEY).distinct(), KEY, "left_semi"))
         newest = Window.partitionBy(*KEY).orderBy(F.desc("scan_id"))
         lines = lines.withColumn("back", F.row_number().over(newest)).persist()
         raw = [c for c in fresh.columns if c not in KEY]
@@ -99,17 +97,23 @@ class ScanStream:
         closed = hi.snapshot(lines.where(F.col("carried") | (F.col("back") > self.open_scans)).drop("back"), scans, True, self.gone_after)
         closed = closed.drop("alerts", "missed_scans", "status")
         closed = closed.select(*KEY, F.struct(*[c for c in closed.columns if c not in KEY]).alias("base"))
-        current = hi.snapshot(lines.drop("back"), scans, True, self.gone_after).persist()
-        self.state.write(current.drop("alerts").join(still_open, KEY).join(closed, KEY, "left"), version)
+        self.state.write(still_open.join(closed, KEY, "left"), version)
         # one row for each scan that was judged, so that a later version of it can take an alert back
-        judged = lines.where(~F.col("carried")).select(*KEY, "scan_id")
-        judged.join(current.select(*KEY, F.inline("alerts")), [*KEY, "scan_id"], "left").write.mode("overwrite").parquet(self.path("alerts", version))
-        for df in (lines, current, scans):
-            df.unpersist()
+        told = hi.snapshot(lines.drop("back"), scans, True, self.gone_after).select(*KEY, F.inline("alerts"))
+        lines.where(~F.col("carried")).select(*KEY, "scan_id").join(told, [*KEY, "scan_id"], "left").write.mode("overwrite").parquet(self.path("alerts", version))
+        lines.unpersist()
+        scans.unpersist()
+
+    def _lines(self, rows: DataFrame, base: DataFrame | None, scans: DataFrame, reviews: DataFrame | None) -> DataFrame:
+        lines = hi.timeline(score(rows, self.watches), scans, base, self.gone_after)
+        return lines if reviews is None else rv.review_at_scan(lines, reviews, self.review_scan)
 
     def current_state(self, spark: SparkSession, version: int) -> DataFrame:
-        """Every listing after ``version``, with status and missed scans as the scan log stands then."""
-        return with_missed_scans(self.state.read(spark, version).drop("base", "open"), self.scan_log(spark, version), self.gone_after)
+        """Every listing after ``version``: its open scans folded onto its state before them, as the scan log stands."""
+        state, scans = self.state.read(spark, version), self.scan_log(spark, version)
+        base = state.where(F.col("base").isNotNull()).select(*KEY, "base.*")
+        lines = self._lines(state.select(*KEY, F.inline("open")), base, scans, self.reviews)
+        return hi.snapshot(lines, scans, True, self.gone_after).drop("alerts")
 
     def alerts(self, spark: SparkSession, version: int) -> DataFrame:
         """All alerts of closed scans after ``version``, as last judged. An open scan may still change its mind."""
