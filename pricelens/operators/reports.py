@@ -101,7 +101,10 @@ def watch_overview(state: DataFrame, scans: DataFrame, watches: DataFrame, as_of
 
 def scan_counters(lines: DataFrame, alerts: DataFrame, scans: DataFrame, budgets: dict[str, int],
                   gone_after: int = 2) -> DataFrame:
-    """Per watch, source and scan: fetched, new, kept, rejected, enriched, notified, gone."""
+    """Per watch, source and scan: fetched, new, kept, rejected, enriched, notified, gone.
+
+    Sightings of a scan with a second pass say whether they were ``enriched``; without one, as many details are counted as the budget
+    would have allowed."""
     from pricelens.operators.history import missed_scan_runs
 
     group = ["watch", "source", "scan_id"]
@@ -109,7 +112,8 @@ def scan_counters(lines: DataFrame, alerts: DataFrame, scans: DataFrame, budgets
     is_new = F.col("event") == "new"
     seen = lines.where(~F.col("carried")).groupBy(*group).agg(
         F.count("*").alias("fetched"), F.count_if(is_new).alias("new"), F.count_if("keep").alias("kept"),
-        F.count_if(~F.col("keep")).alias("rejected"), F.count_if(is_new & F.col("keep")).alias("wanted"))
+        F.count_if(~F.col("keep")).alias("rejected"), F.count_if(is_new & F.col("keep")).alias("wanted"),
+        (F.count_if("enriched") if "enriched" in lines.columns else F.lit(None).cast("bigint")).alias("read"))
     notified = alerts.groupBy(*group).agg(F.count("*").alias("notified"))
     # A run makes the listing gone at the complete scan that is ``gone_after`` complete scans later.
     runs = missed_scan_runs(lines, scans, gone_after).where("gone").groupBy(
@@ -119,7 +123,7 @@ def scan_counters(lines: DataFrame, alerts: DataFrame, scans: DataFrame, budgets
     return scans.select(*group).join(seen, group, "left").join(notified, group, "left").join(
         gone.select(*group, "gone"), group, "left").select(
         *group, *[F.coalesce(c, zero).alias(c) for c in ("fetched", "new", "kept", "rejected", "notified", "gone")],
-        F.least(F.coalesce("wanted", zero), budget.cast("bigint")).alias("enriched"))
+        F.coalesce("read", F.least(F.coalesce("wanted", zero), budget.cast("bigint")) if "enriched" not in lines.columns else zero).alias("enriched"))
 
 
 def distinct_watches(state: DataFrame) -> DataFrame:
