@@ -74,7 +74,7 @@ def ad_pages(spark, sf):
     html = F.concat(F.lit('<!DOCTYPE html><html><body><div>x</div><script id="__NEXT_DATA__" type="application/json">'),
                     F.when(F.col("obs_id") % 71 == 1, F.lit("{broken")).otherwise(F.to_json(data)), F.lit("</script></body></html>"))
     body = F.when(F.col("obs_id") % 71 == 0, "<html>challenge</html>").otherwise(html)
-    return rows.select("watch", "scan_id", F.col("obs_id").alias("page_id"), body.alias("body"))
+    return rows.select("watch", "scan_id", F.col("obs_id").alias("page_id"), F.col("seen_at").alias("fetched_at"), body.alias("body"))
 
 
 @query("ingest_embedded_json", compose(
@@ -133,7 +133,7 @@ def api_pages(spark, sf):
             F.col("posted_at").alias("itemCreationDate"))
 
     page = F.struct(F.lit(2).alias("total"), F.array(item("EUR"), item("USD")).alias("itemSummaries"))
-    return rows.select("watch", "scan_id", F.col("obs_id").alias("page_id"), F.to_json(page).alias("body"))
+    return rows.select("watch", "scan_id", F.col("obs_id").alias("page_id"), F.col("seen_at").alias("fetched_at"), F.to_json(page).alias("body"))
 
 
 @query("ingest_api_items", compose(
@@ -165,7 +165,7 @@ def card_pages(spark, sf):
     unpriced = F.concat(F.lit('<a data-testid="product-item-id-'), "listing_id", F.lit('--overlay-link" title="Sans prix"></a>'))
     both = F.when(ln() % 3 == 0, "").otherwise(F.concat(F.lit(", "), french(total), F.lit(" €")))
     body = F.concat(F.lit("<html><div>"), unpriced, card(french(F.col("price_cents")), both), F.lit("</div><div>"), card(F.lit("1.00"), F.lit("")), F.lit("</div></html>"))
-    return rows.select("watch", "scan_id", F.col("obs_id").alias("page_id"), body.alias("body"))
+    return rows.select("watch", "scan_id", F.col("obs_id").alias("page_id"), F.col("seen_at").alias("fetched_at"), body.alias("body"))
 
 
 @query("ingest_card_pages", compose(
@@ -203,7 +203,7 @@ def _topic_row(css, title):
 
 def list_pages(spark, sf):
     body = F.concat(F.lit("<html><table>"), _topic_row("ligne_sticky", F.lit("[VDS] Règles &amp; blue")), _topic_row("cBackCouleurTab1", F.col("topic")), F.lit("</table></html>"))
-    return forum_rows(spark, sf).select("watch", "scan_id", F.col("obs_id").alias("page_id"), body.alias("body"))
+    return forum_rows(spark, sf).select("watch", "scan_id", F.col("obs_id").alias("page_id"), F.col("seen_at").alias("fetched_at"), body.alias("body"))
 
 
 @query("ingest_topic_list", compose(

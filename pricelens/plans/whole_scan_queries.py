@@ -81,9 +81,7 @@ def raw_pages(spark, sf):
     topics = post_pages(spark, sf).drop("topic").withColumn("url", F.concat(F.lit("https://forum.example/hfr/x-sujet_"), "page_id", F.lit("_1.htm")))
     every = union_frames(*[p.withColumn("source", F.lit(n)) for n, p in (
         ("lbc", ad_pages(spark, sf)), ("ebay", api_pages(spark, sf)), ("vinted", card_pages(spark, sf)), ("hfr", list_pages(spark, sf)), ("hfr", topics))])
-    at = ["watch", "source", "scan_id", "page_id"]
-    seen = fr.observation_log(spark, sf).withColumnRenamed("obs_id", "page_id").groupBy(*at).agg(F.min("seen_at").alias("fetched_at"))
-    return captured(every.join(seen, at))
+    return captured(every)
 
 
 def detail_rows(spark, sf):
