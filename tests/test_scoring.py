@@ -67,3 +67,8 @@ def test_config_resolution():
     assert list(resolve_watches({"profile": {"type": "hdd", "title": "Old"}})) == ["hdd"]
     with pytest.raises(ValueError):
         resolve_watches({"watches": {"a": {"enabled": False}}})
+
+
+def test_any_false_value_switches_a_watch_off():
+    raw = {"watches": {"a": {"enabled": None}, "b": {"enabled": 0}, "c": {"enabled": False}, "d": {"enabled": True}, "e": {}, "f": None}}
+    assert list(resolve_watches(raw)) == ["d", "e", "f"]
