@@ -16,10 +16,13 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def attribute_lines(attrs: Column, labels: dict[str, str]) -> Column:
-    """'Label : value' for the labelled attributes that have a value, in label order."""
-    rows = [F.when(F.coalesce(attrs[key], F.lit("")) != "", _text(label, " : ", attrs[key])) for key, label in labels.items()]
-    return F.array_compact(F.array(*rows)) if rows else F.array().cast("array<string>")
+def attribute_lines(attrs: Column, labels: Column) -> Column:
+    """'Label : value' for the attributes that have a value and a label, in the order of ``labels`` (name, label); none where either is null."""
+    def line(x: Column) -> Column:
+        value = F.try_element_at(attrs, x["name"])
+        return F.when(value != "", _text(x["label"], " : ", value))
+
+    return F.coalesce(F.array_compact(F.transform(labels, line)), F.array().cast("array<string>"))
 
 
 def alert_title(labels: dict[str, str]) -> Column:

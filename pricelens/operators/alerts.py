@@ -73,7 +73,9 @@ def alert_rows(folded: DataFrame) -> DataFrame:
 
 
 def alert_messages(alerts: DataFrame, lines: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Each alert as a row ready to be pushed: title, body, priority 1-5, tags, click URL."""
+    """Each alert as a row ready to be pushed: title, body, priority 1-5, tags, click URL.
+
+    Rows with ``attrs`` get a line for each attribute that their profile labels (``attr_labels`` of the watch)."""
     from pricelens.functions import messages as ms
 
     facts = lines.where(~F.col("carried")).drop("event", "seen_at", "unit_cents")
@@ -81,6 +83,7 @@ def alert_messages(alerts: DataFrame, lines: DataFrame, labels: dict[str, str])
         if name not in facts.columns:
             facts = facts.withColumn(name, F.lit(None).cast(kind))
     rows = alerts.drop("suspicious").join(facts, [*KEY, "scan_id"])
+    extra = ms.attribute_lines(F.col("attrs"), F.col("attr_labels")) if {"attrs", "attr_labels"} <= set(rows.columns) else None
     return rows.select(
-        *KEY, "scan_id", "event", ms.alert_title(labels).alias("title"), ms.alert_body().alias("message"),
+        *KEY, "scan_id", "event", ms.alert_title(labels).alias("title"), ms.alert_body(extra).alias("message"),
         ms.alert_priority().alias("priority"), ms.alert_tags().alias("tags"), F.col("url").alias("click"))

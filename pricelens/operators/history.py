@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricelens.functions.listing import status_rank
+from pricelens.operators.market import MARKET_NAMES
 
 KEY = ["watch", "source", "listing_id"]
 GONE_AFTER = 2
@@ -108,6 +109,14 @@ def missed_scan_runs(lines: DataFrame, scans: DataFrame, gone_after: int = GONE_
     ).withColumn("gone", counts & (run >= gone_after))
 
 
+def _point_of(lines: DataFrame, own: list[str]) -> Column:
+    """The carried price point with the market names ``own``; one from before rows had such names counts by model and family."""
+    point, had = F.col("last_point"), lines.select("last_point.*").columns
+    named = [(point[n] if n in had else point[plain]).alias(n) for n, plain in zip(MARKET_NAMES, ("model", "family")) if n in own]
+    plain = F.struct(*[point[n].alias(n) for n in ("seen_at", "obs_id", "unit_cents", "model", "family")], *named)
+    return F.when(point.isNotNull(), plain)
+
+
 def snapshot(lines: DataFrame, scans: DataFrame, with_alerts: bool = True, gone_after: int = GONE_AFTER) -> DataFrame:
     """Current row of every listing, with its notification state and the alerts of this timeline.
 
@@ -119,8 +128,9 @@ def snapshot(lines: DataFrame, scans: DataFrame, with_alerts: bool = True, gone_
     first = F.col("first_seen") if "first_seen" in lines.columns else F.lit(None).cast("timestamp")
     last = F.struct(*[c for c in LAST_SEEN_COLS if c in lines.columns], F.col("scan_id").alias("last_scan_id"), F.col("seen_at").alias("last_seen"),
                     F.col("merged_status").alias("seen_status"), "complete_through")
-    old_point, old_count = (F.col("last_point"), F.col("price_points")) if "last_point" in lines.columns else (None, None)
-    fresh = F.when(is_price_point(), F.struct("seen_at", "obs_id", "unit_cents", "model", "family"))
+    own = [n for n in MARKET_NAMES if n in lines.columns]
+    old_point, old_count = (_point_of(lines, own), F.col("price_points")) if "last_point" in lines.columns else (None, None)
+    fresh = F.when(is_price_point(), F.struct("seen_at", "obs_id", "unit_cents", "model", "family", *own))
     point = fresh if old_point is None else F.coalesce(fresh, old_point)
     count = is_price_point().cast("bigint")
     count = count if old_count is None else F.coalesce(F.when(F.col("carried"), old_count), count)

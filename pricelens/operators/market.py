@@ -46,25 +46,40 @@ def snapshot_points(state: DataFrame, as_of: Column, history_days: int = 30) ->
     ).select("watch", "source", "listing_id", "last_point.*")
 
 
+#: Names under which a price point counts in the market, fine and broad, where rows have them (``profiles.with_market_names``); else model and family.
+MARKET_NAMES = ["market_fine", "market_broad"]
+
+
+def _names(point: Column | None, known: bool) -> list[Column]:
+    return [F.col(n) if point is None else point[n] for n in (MARKET_NAMES if known else ("model", "family"))]
+
+
+def levels(point: Column | None = None, known: bool = False) -> Column:
+    """The names under which a price point counts, finest first. ``known`` tells that the point has the names its profile gives."""
+    fine, broad = _names(point, known)
+    return F.array(F.struct(F.lit("model").alias("level"), fine.alias("name")), F.struct(F.lit("family").alias("level"), broad.alias("name")))
+
+
 def market_table(points: DataFrame) -> DataFrame:
-    """Medians by model and by family in one frame: (watch, level, name, median_cents, median_samples)."""
-    levels = F.array(
-        F.struct(F.lit("model").alias("level"), F.col("model").alias("name")),
-        F.struct(F.lit("family").alias("level"), F.col("family").alias("name")),
-    )
-    named = points.select("watch", "unit_cents", F.inline(levels)).where(F.col("name") != "")
+    """Medians by model and by family in one frame: (watch, level, name, median_cents, median_samples).
+
+    Points with ``market_fine`` and ``market_broad`` count under these names (see ``profiles.with_market_names``)."""
+    known = set(MARKET_NAMES) <= set(points.columns)
+    named = points.select("watch", "unit_cents", F.inline(levels(known=known))).where(F.col("name") != "")
     return medians(named, ["watch", "level", "name"])
 
 
 def attach_market(df: DataFrame, market: DataFrame) -> DataFrame:
-    """Add the median for each row: by model, or by family only when the model has no point at all."""
+    """Add the median for each row: by its fine name, or by its broad name only when the fine one has no point at all."""
+    fine_name, broad_name = _names(None, set(MARKET_NAMES) <= set(df.columns))
     fine = market.where(F.col("level") == "model").select(
-        "watch", F.col("name").alias("model"), F.col("median_cents").alias("m_med"), F.col("median_samples").alias("m_n"))
+        "watch", F.col("name").alias("m_name"), F.col("median_cents").alias("m_med"), F.col("median_samples").alias("m_n"))
     broad = market.where(F.col("level") == "family").select(
-        "watch", F.col("name").alias("family"), F.col("median_cents").alias("f_med"), F.col("median_samples").alias("f_n"))
-    return df.join(fine, ["watch", "model"], "left").join(broad, ["watch", "family"], "left").withColumn(
+        "watch", F.col("name").alias("f_name"), F.col("median_cents").alias("f_med"), F.col("median_samples").alias("f_n"))
+    named = df.withColumns({"m_name": fine_name, "f_name": broad_name})
+    return named.join(fine, ["watch", "m_name"], "left").join(broad, ["watch", "f_name"], "left").withColumn(
         "median_cents", F.when(F.col("m_n").isNotNull(), F.col("m_med")).otherwise(F.col("f_med"))
-    ).withColumn("median_samples", F.coalesce("m_n", "f_n", F.lit(0))).drop("m_med", "m_n", "f_med", "f_n")
+    ).withColumn("median_samples", F.coalesce("m_n", "f_n", F.lit(0))).drop("m_name", "f_name", "m_med", "m_n", "f_med", "f_n")
 
 
 def rolling_market(history: DataFrame, eligible: DataFrame, scan_starts: DataFrame, history_days: int = 30) -> DataFrame:

@@ -10,10 +10,11 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens import fixed_values as fv
+from pricelens.operators.market import MARKET_NAMES
 from pricelens.operators.merging import union_frames
 
 Classifier = Callable[[DataFrame, Mapping[str, Any]], DataFrame]
@@ -26,6 +27,8 @@ class Profile:
     low_flags: tuple[str, ...] = ()
     flag_notes: Mapping[str, str] = field(default_factory=dict)
     attr_labels: Mapping[str, str] = field(default_factory=dict)
+    #: Fine and broad name of a classified row in the market, as columns; model and family without one. A null name counts under none.
+    market_key: Callable[[], tuple[Column, Column]] | None = None
 
     def scoring(self, cfg: Mapping[str, Any]) -> dict[str, Any]:
         """Scoring columns of ``config.WATCH_DDL`` for one watch."""
@@ -33,7 +36,8 @@ class Profile:
         if self.name == "hdd":
             divisor, label = cfg.get("target_capacity_tb", 8), "€/To"
         return {"unit_divisor": float(divisor) if divisor else None, "unit_label": label,
-                "low_flags": list(self.low_flags), "flag_notes": dict(self.flag_notes)}
+                "low_flags": list(self.low_flags), "flag_notes": dict(self.flag_notes),
+                "attr_labels": [{"name": n, "label": v} for n, v in self.attr_labels.items()]}
 
 
 def _keywords(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
@@ -86,3 +90,22 @@ def classify_by_watch(df: DataFrame, watches: Mapping[str, Mapping[str, Any]]) -
         profile, cfg = PROFILES[kind], profile_for(watches[names[0]])[1]
         parts.append(profile.classify(df.where(F.col("watch").isin(*names)), cfg))
     return union_frames(*parts)
+
+
+def with_market_names(df: DataFrame, watches: Mapping[str, Mapping[str, Any]]) -> DataFrame:
+    """``market_fine`` and ``market_broad`` of classified rows: what each watch's profile names them, model and family where it names nothing.
+
+    One expression for all watches; rows stay as they are where no profile has a market key. Price points, snapshots and the market carry the names."""
+    own: dict[str, list[str]] = {}
+    for name, watch in watches.items():
+        profile = profile_for(watch)[0]
+        if profile.market_key is not None:
+            own.setdefault(profile.name, []).append(name)
+    if not own:
+        return df
+    fine, broad = F.col("model"), F.col("family")
+    for kind, names in own.items():
+        mine = F.col("watch").isin(*names)
+        key = PROFILES[kind].market_key()
+        fine, broad = F.when(mine, key[0]).otherwise(fine), F.when(mine, key[1]).otherwise(broad)
+    return df.withColumns(dict(zip(MARKET_NAMES, (fine, broad))))

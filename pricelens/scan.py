@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pricelens.functions.money import delivered_cents
 from pricelens.operators import history as hi
 from pricelens.operators.merging import merge_scan
-from pricelens.operators.profiles import classify_by_watch
+from pricelens.operators.profiles import classify_by_watch, with_market_names
 from pricelens.operators.scans import SCAN, scan_facts, scan_log_of
 from pricelens.operators.scoring import score
 from pricelens.operators.second_pass import mark_new, second_pass
-from pricelens.session import checkpoint_folder
+from pricelens.session import checkpoint_folder, shared_folder
 from pricelens.sources import sinks
 from pricelens.sources.embedded_json import read_islands
 from pricelens.sources.registry import read_pages
@@ -87,11 +87,19 @@ class Scan:
 
 
 def _stored(rows: DataFrame) -> DataFrame:
-    """The same rows from the shared checkpoint folder: pages are parsed once, however many watches judge them, and each judgement is made once."""
+    """The same rows from the shared checkpoint folder: each judgement is made once."""
     checkpoint_folder(rows.sparkSession)
     return rows.checkpoint()
 
 
+def _by_watch(rows: DataFrame) -> DataFrame:
+    """The same rows from a table of one folder for each watch: each profile reads the folders of its watches, so that all of them
+    together read every row once. A watch of many rows is written by several tasks."""
+    path = shared_folder(rows.sparkSession, "by-watch")
+    rows.hint("rebalance", "watch").write.partitionBy("watch").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def scan(pages: DataFrame, watches: Mapping[str, Mapping[str, Any]], rules: DataFrame, details: DataFrame | None = None, budgets: Mapping[str, int] | None = None,
          market: DataFrame | None = None, previous: DataFrame | None = None, earlier_facts: DataFrame | None = None,
          read: Callable[[DataFrame], DataFrame] = read_pages, gone_after: int = hi.GONE_AFTER) -> Scan:
@@ -103,9 +111,9 @@ def scan(pages: DataFrame, watches: Mapping[str, Mapping[str, Any]], rules: Data
     """
     def judge(rows: DataFrame) -> DataFrame:
         listing = [c for c in rows.columns if c in CONTRACT or c in ("delivered_cents", "is_new")]
-        return score(classify_by_watch(rows.select(*listing), watches), rules, market)
+        return score(with_market_names(classify_by_watch(rows.select(*listing), watches), watches), rules, market)
 
-    rows = _stored(judge(_stored(merge_scan(as_listings(read(pages))))))
+    rows = _stored(judge(_by_watch(merge_scan(as_listings(read(pages))))))
     if details is not None:
         rows = _stored(second_pass(mark_new(rows, previous), details, budgets or {}, judge))
     facts = scan_facts(page_facts(pages))
