@@ -168,9 +168,9 @@ def remove_repeats(listings: DataFrame, key: str = "obs_id", text: str = "descri
                                              names=["id", "n_words", "n_removed", "body"])
 
     def again(sent: DataFrame) -> DataFrame:
-        """Per text: places of runs that occur more than once."""
+        """Per text: places of runs that occur more than once, each place once, however many rows repeat the text under its key."""
         met = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_met_again, PLACES)
-        return met.groupBy("text").agg(F.collect_list(F.when(F.col("marks").isNull(), F.col("at"))).alias("at"), F.collect_list("marks").alias("marks"))
+        return met.groupBy("text").agg(F.collect_set(F.when(F.col("marks").isNull(), F.col("at"))).alias("at"), F.collect_set("marks").alias("marks"))
 
     near = rows.join(again(rows.mapInArrow(anchors, SENT)), "text")
     repeats = again(near.mapInArrow(windows, SENT))
