@@ -56,7 +56,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = batch.column(key).to_numpy()
+        values = batch.column(key).to_numpy(zero_copy_only=False)
         start = int(values.searchsorted(values[-1]))  # of the run that may go on in the next batch
         if start:
             yield pa.Table.from_batches([*held, batch.slice(0, start)])

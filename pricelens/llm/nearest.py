@@ -32,6 +32,11 @@ def usable(items: DataFrame, key: str, vector: str) -> DataFrame:
             .withColumn("dim", F.size("v")))
 
 
+def _keys(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers as such; keys of other types as Python objects, so that equal means equal."""
+    return np.array(column.to_pylist(), dtype=None if pa.types.is_integer(column.type) else object)
+
+
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     largest = np.abs(values).max(axis=1, keepdims=True)
@@ -85,7 +90,7 @@ def nearest(items: DataFrame, queries: DataFrame, key: str = "obs_id", vector: s
     Rows with the query's own key are left out; equal cosines go by the smaller key; ranks start at 1; fewer candidates
     give fewer ranks. Null, empty and zero vectors and vectors with null or non-finite components take no part, nor do null
     keys. Vectors of different length never meet. A key that occurs several times is as many candidates; as a query it is
-    one, nearest by any of its vectors. Empty tables give an empty result. Other columns are ignored.
+    one, nearest by any of its vectors. Keys may be numbers or texts, which are compared by code points. Empty tables give an empty result. Other columns are ignored.
     """
     every, asked = usable(items, key, vector), usable(queries, key, vector)
     kind = every.schema["id"].dataType.simpleString()
@@ -101,7 +106,7 @@ def nearest(items: DataFrame, queries: DataFrame, key: str = "obs_id", vector: s
         found: list[tuple] = []
         if a.num_rows and b.num_rows:
             dim = group[0].as_py()
-            found = list(tile(np.array(a["id"].to_pylist()), _matrix(a["v"], dim), np.array(b["id"].to_pylist()), _matrix(b["v"], dim), k))
+            found = list(tile(_keys(a["id"]), _matrix(a["v"], dim), _keys(b["id"]), _matrix(b["v"], dim), k))
         return _rows(found, a.schema.field("id").type)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
