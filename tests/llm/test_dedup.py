@@ -124,6 +124,14 @@ def test_repeats_with_null_and_repeated_keys(spark):
         ("3", 0), ("3", 40), ("3", 40), ("None", 0), ("None", 40)]
 
 
+def test_many_rows_of_one_key_and_text(spark):
+    draw = random.Random(3)
+    text, other = sentence(draw, 400), sentence(draw, 60)
+    rows = spark.createDataFrame([(5, text)] * 1500 + [(6, other), (7, f"{other} {text[:3]} fin")], "obs_id long, description string").repartition(6)
+    found = repeats.remove_repeats(rows).groupBy("obs_id", "n_removed").count().collect()
+    assert {(r.obs_id, r.n_removed): r["count"] for r in found} == {(5, 400): 1500, (6, 60): 1, (7, 60): 1}
+
+
 def plain_nearest(rows, queries, k):
     ok = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     out = []
@@ -152,6 +160,18 @@ def test_nearest_matches_brute_force(spark, monkeypatch, block):
     assert nearest_module.nearest(few, few.where("obs_id = 0")).count() == 2
 
 
+def test_nearest_of_text_keys(spark):
+    x = np.random.default_rng(2).normal(size=(120, 5))
+    x[30] = x[31] = x[32]
+    rows = [(f"é{i % 7}-{i}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "listing_id string, embedding array<double>").repartition(3)
+    asked = df.where("listing_id like 'é3%'")
+    found = sorted(map(tuple, nearest_module.nearest(df, asked, "listing_id").collect()))
+    expected = sorted(plain_nearest(rows, {r.listing_id for r in asked.collect()}, 5))
+    assert [f[:3] for f in found] == [e[:3] for e in expected]
+    assert np.allclose([f[3] for f in found], [e[3] for e in expected], atol=1e-12)
+
+
 def test_digest_of_kept_words_is_that_of_the_query(spark):
     from pricelens.llm.queries import op7_repeats
 

@@ -55,6 +55,14 @@ def test_quality_ranks_held_out_labels(spark):
     assert (found["predicted"] == found["keep"]).mean() > 0.95
 
 
+def test_quality_cutoff_counts_all_labels_however_few_the_fit_sees(spark):
+    sf = SF.replace("0.001", "0.01")
+    reviews = table(spark, sf, "labels").select(F.col("doc_id").alias("obs_id"), F.col("quality").alias("keep"))
+    for bound in (60, quality.LABELLED):
+        found = quality.quality(read_listings(spark, sf), reviews, F.lit(True), labelled=bound).join(reviews, "obs_id").toPandas()
+        assert abs(int(found["predicted"].sum()) - int((found["keep"] == 1).sum())) <= 2  # as many as are kept, but for ties in a step
+
+
 def test_quality_of_odd_input(spark):
     rows = frame(spark, ["texte clair", None, "", "x" * 100_000, "a " * 50_000]).withColumn("keep", F.lit("taken"))
     none = spark.createDataFrame([(1, None), (2, 7)], "obs_id long, keep int")
