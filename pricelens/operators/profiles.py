@@ -18,6 +18,8 @@ from pricelens.operators.market import MARKET_NAMES
 from pricelens.operators.merging import union_frames
 
 Classifier = Callable[[DataFrame, Mapping[str, Any]], DataFrame]
+#: Rows of several watches and the settings of each by name.
+ManyClassifier = Callable[[DataFrame, Mapping[str, Mapping[str, Any]]], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,8 @@ class Profile:
     attr_labels: Mapping[str, str] = field(default_factory=dict)
     #: Fine and broad name of a classified row in the market, as columns; model and family without one. A null name counts under none.
     market_key: Callable[[], tuple[Column, Column]] | None = None
+    #: Classifies rows of watches with different settings in one pass; without one, each set of settings is a pass of its own.
+    classify_many: ManyClassifier | None = None
 
     def scoring(self, cfg: Mapping[str, Any]) -> dict[str, Any]:
         """Scoring columns of ``config.WATCH_DDL`` for one watch."""
@@ -46,6 +50,12 @@ def _keywords(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
     return classify_keywords(df, cfg)
 
 
+def _keywords_of_watches(df: DataFrame, configs: Mapping[str, Mapping[str, Any]]) -> DataFrame:
+    from pricelens.operators.classify_keywords import classify_keywords_of_watches
+
+    return classify_keywords_of_watches(df, configs)
+
+
 def _drives(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
     from pricelens.operators.classify_drives import classify_drives
 
@@ -61,7 +71,8 @@ def _pc(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
 PROFILES: dict[str, Profile] = {
     "hdd": Profile("hdd", _drives,
                    attr_labels={"smart_hours": "SMART (h)", "capacities_gb": "Capacités citées (Go)"}),
-    "keywords": Profile("keywords", _keywords, ("family_unknown",), fv.KEYWORDS_FLAG_NOTES),
+    "keywords": Profile("keywords", _keywords, ("family_unknown",), fv.KEYWORDS_FLAG_NOTES,
+                        classify_many=_keywords_of_watches),
     "pc": Profile("pc", _pc, tuple(fv.PC_LOW_FLAGS), fv.PC_FLAG_NOTES,
                   {"cpu": "CPU", "ram_gb": "RAM (Go)", "storage_gb": "Stockage (Go)", "storage": "Type",
                    "cpu_score": "Score CPU"}),
@@ -80,15 +91,23 @@ def profile_for(watch: Mapping[str, Any]) -> tuple[Profile, Mapping[str, Any]]:
 
 
 def classify_by_watch(df: DataFrame, watches: Mapping[str, Mapping[str, Any]]) -> DataFrame:
-    """Each watch's rows through its own profile. Watches with equal settings share one pass over the data."""
-    groups: dict[tuple[str, str], list[str]] = {}
+    """Each watch's rows through its own profile. Watches with equal settings share one pass over the data, and so do all watches of a
+    profile with ``classify_many``, whatever their settings."""
+    kinds: dict[str, dict[str, Mapping[str, Any]]] = {}
     for name, watch in watches.items():
         profile, cfg = profile_for(watch)
-        groups.setdefault((profile.name, repr(cfg)), []).append(name)
+        kinds.setdefault(profile.name, {})[name] = cfg
     parts = []
-    for (kind, _), names in groups.items():
-        profile, cfg = PROFILES[kind], profile_for(watches[names[0]])[1]
-        parts.append(profile.classify(df.where(F.col("watch").isin(*names)), cfg))
+    for kind, configs in kinds.items():
+        profile = PROFILES[kind]
+        groups: dict[str, list[str]] = {}
+        for name, cfg in configs.items():
+            groups.setdefault(repr(cfg), []).append(name)
+        if profile.classify_many is not None and len(groups) > 1:
+            parts.append(profile.classify_many(df.where(F.col("watch").isin(*configs)), configs))
+            continue
+        for names in groups.values():
+            parts.append(profile.classify(df.where(F.col("watch").isin(*names)), configs[names[0]]))
     return union_frames(*parts)
 
 

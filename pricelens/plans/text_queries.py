@@ -144,6 +144,48 @@ def classify_keywords_documents(spark, sf):
     return classify_keywords(docs, DOC_CFG).select("doc_id", "reason", "family")
 
 
+# Watches over the documents, their words by a rule over their numbers.
+WATCH_WORDS = [["the", "of"], ["la", "las"], ["der", "und"], ["les", "une"], ["token", "en"], ["est", "no la"]]
+N_WATCHES = 24
+
+
+def _watch_words(i, step):
+    return WATCH_WORDS[(i + step) % len(WATCH_WORDS)]
+
+
+def _word_watch(i):
+    cfg = {"require_any": _watch_words(i, 0) + _watch_words(i, 1), "reject": _watch_words(i, 2)[:1] if i % 3 == 0 else [],
+           "families": [{"name": f"f{k}", "any": _watch_words(i, k)} for k in range(i % 4)], "require_family": (False, "flag", True)[i % 3]}
+    return {"watch": f"w{i}", "profile": {"type": "keywords", "keywords": cfg}}
+
+
+def _words_table() -> str:
+    """VALUES rows of (watch, required, rejected, families in order, mode), patterns null where a watch has none."""
+    rows = []
+    for i in range(N_WATCHES):
+        cfg = _word_watch(i)["profile"]["keywords"]
+        families = [f"'{_kw_sql(f['any'])}'" for f in cfg["families"]] + ["CAST(NULL AS VARCHAR)"] * (3 - len(cfg["families"]))
+        rejected = f"'{_kw_sql(cfg['reject'])}'" if cfg["reject"] else "CAST(NULL AS VARCHAR)"
+        rows.append(f"({i}, '{_kw_sql(cfg['require_any'])}', {rejected}, '{(cfg['reject'] or [''])[0]}', {', '.join(families)}, '{cfg['require_family']}')")
+    return ", ".join(rows)
+
+
+@query("classify_keyword_watches", f"""
+  WITH s(watch, required, rejected, word, f0, f1, f2, mode) AS (VALUES {_words_table()}),
+  m AS (SELECT doc_id, s.*, coalesce(regexp_matches(n, rejected), FALSE) AS bad, regexp_matches(n, required) AS has,
+      CASE WHEN regexp_matches(n, f0) THEN 'f0' WHEN regexp_matches(n, f1) THEN 'f1' WHEN regexp_matches(n, f2) THEN 'f2' END AS fam
+    FROM (SELECT doc_id, {NORM_SQL.format('text')} AS n FROM documents) JOIN s ON s.watch = doc_id % {N_WATCHES})
+  SELECT doc_id, 'w' || watch AS watch, CASE WHEN bad THEN 'reject:' || word WHEN NOT has THEN 'no_match' WHEN mode = 'True' AND fam IS NULL THEN 'family_unknown' END AS reason,
+    CASE WHEN NOT bad AND has THEN fam END AS family,
+    CASE WHEN bad OR NOT has OR fam IS NOT NULL OR mode = 'True' THEN '' WHEN mode = 'flag' THEN 'family_unknown|model_unknown' ELSE 'model_unknown' END AS flags FROM m""")
+def classify_keyword_watches(spark, sf):
+    """Twenty-four watches with different words over whole documents, in one pass."""
+    docs = fr.big(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("w"), F.col("doc_id") % N_WATCHES).alias("watch"), F.lit("").alias("title"), F.col("text").alias("description"), F.lit("used").alias("condition_code"))
+    out = classify_by_watch(docs, {f"w{i}": _word_watch(i) for i in range(N_WATCHES)})
+    return out.select("doc_id", "watch", "reason", "family", fr.joined(F.col("flags")).alias("flags"))
+
+
 MIXED = {"hdd": {"watch": "hdd", "profile": {"type": "hdd", "hdd": DRIVE_CFG}}, "pc": {"watch": "pc", "profile": {"type": "pc", "pc": PC_CFG}},
          "card": {"watch": "card", "profile": {"type": "keywords", "keywords": KW_CFG}}}
 ALL_CASES = [c[:8] for c in DRIVE_CASES] + [c[:8] for c in PC_CASES] + [c[:8] for c in KW_CASES]
