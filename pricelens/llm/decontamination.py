@@ -1,9 +1,11 @@
 """Benchmark items inside listing texts, by winnowing; DataFrame functions only.
 
 Of every nine consecutive 5-grams of words the one with the least hash is kept, the first of equals. Two texts that share
-thirteen consecutive words share such a window and so keep the same 5-gram of it: kept 5-grams of listings and items are
-joined by hash, each meeting fixes how the two texts lie against one another (the diagonal), and along it all windows
-are compared word by word. Items of fewer than thirteen words, below that guarantee, are met by the hash of all their words.
+thirteen consecutive words share such a window and so keep the same 5-gram of it: kept 5-grams of listings are joined with
+the different ones of the items by hash. Each place that met is extended to the windows around it that hold its 5-gram, and these are
+joined with the different windows of the items, word by word. Places are never paired with places: a text that repeats a word or a
+line costs its length, however often an item repeats it. Items of fewer than thirteen words, below that guarantee, are met by the
+hash of all their words.
 """
 
 from __future__ import annotations
@@ -11,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import ascii_lower, version
+from pricelens.functions.literals import let
+from pricelens.llm.common import ascii_lower
 
 WINDOW, GRAM = 13, 5
 #: A kept 5-gram is one long: the upper bits of its hash, then its position.
 POSITION_BITS = 30
+#: A window of a listing is one long: its first position, then its number of words.
+SIZE_BITS = 4
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -37,8 +42,9 @@ def _least(x: Column, y: Column) -> Column:
     return F.least(x, y)
 
 
-def _both(x: Column, y: Column) -> Column:
-    return x & y
+def version(text: Column) -> Column:
+    """Tells texts of one key apart."""
+    return F.xxhash64(text)
 
 
 def _steps(df: DataFrame, rest: list[str], steps: list[tuple[str, Column, list[str]]]) -> DataFrame:
@@ -84,43 +90,71 @@ def _grams(df: DataFrame, length: int) -> DataFrame:
         *rest, F.posexplode_outer("hashes").alias("at", "hash")).where("hash IS NOT NULL")
 
 
-def hits(listings: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
-    """(id, v, at, item): word positions inside an occurrence of a window, with the item; distinct per diagonal only."""
-    texts = listings.select(F.col(key).alias("id"), version(F.col(text)).alias("v"), words(F.col(text)).alias("words"))
-    known = (items.select(F.col(item_key).alias("item"), words(F.col(item_text)).alias("item_words"))
-             .where(F.size("item_words") > 0).distinct())
+def _place(at: Column, size: Column | int) -> Column:
+    return F.shiftleft(at.cast("long"), SIZE_BITS).bitwiseOR(F.lit(size).cast("long"))
+
+
+def _at(place: Column) -> Column:
+    return F.shiftright(place, SIZE_BITS).cast("int")
+
+
+def _size(place: Column) -> Column:
+    return place.bitwiseAND((1 << SIZE_BITS) - 1).cast("int")
+
+
+def _window(of: Column, at: Column, size: Column) -> Column:
+    """``size`` words from a position; words hold no spaces, so equal texts are equal words."""
+    return F.array_join(F.slice(of, at + 1, size), " ")
+
+
+def _met(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, v, place): kept 5-grams of the listings that an item keeps too, with size thirteen, and runs of words that may be a short item."""
     kept = F.explode_outer("kept").alias("k")  # a plain explode would have its array tested, hence computed, once more below
-    split = [F.shiftright("k", POSITION_BITS).alias("hash"), F.col("k").bitwiseAND((1 << POSITION_BITS) - 1).cast("int").alias("at")]
-    ours = winnow(texts).select("id", "v", kept).where("k IS NOT NULL").select("id", "v", *split)
-    theirs = (winnow(known.select("item", "item_words", F.col("item_words").alias("words"))).select("item", "item_words", kept)
-              .select("item", "item_words", split[0], split[1].alias("item_at")))
-    met = ours.join(theirs, "hash").select("id", "v", "item", "item_words", (F.col("at") - F.col("item_at")).alias("offset"))
+    hashed = F.shiftright("k", POSITION_BITS).alias("hash")
+    at = F.col("k").bitwiseAND((1 << POSITION_BITS) - 1)
+    theirs = winnow(known.select(F.col("item_words").alias("words"))).select(kept).where("k IS NOT NULL").select(hashed).distinct()
+    ours = winnow(texts).select("id", "v", kept).where("k IS NOT NULL").select("id", "v", hashed, _place(at, WINDOW).alias("place"))
+    met = ours.join(theirs, "hash", "left_semi").select("id", "v", "place")
     short = known.where(F.size("item_words") < WINDOW)
     for (length,) in short.select(F.size("item_words")).distinct().collect():  # twelve values at most
-        same = short.where(F.size("item_words") == length)
-        same = _grams(same.withColumn("words", F.col("item_words")), length).select("item", "item_words", "hash")
-        met = met.unionAll(_grams(texts, length).join(same, "hash").select("id", "v", "item", "item_words", F.col("at").alias("offset")))
-    met = met.distinct()
+        same = _grams(short.where(F.size("item_words") == length).select(F.col("item_words").alias("words")), length).select("hash").distinct()
+        met = met.unionAll(_grams(texts, length).join(same, "hash", "left_semi").select("id", "v", _place(F.col("at"), length).alias("place")))
+    return met
+
+
+def occurrences(listings: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
+    """(id, v, item, place): every occurrence of a window of an item, by the places that met."""
+    texts = listings.select(F.col(key).alias("id"), version(F.col(text)).alias("v"), words(F.col(text)).alias("words"))
+    known = (items.select(F.col(item_key).alias("item"), words(F.col(item_text)).alias("item_words"))
+             .where(F.size("item_words") > 0).distinct())
+    met = _met(texts, known).groupBy("id", "v").agg(F.collect_set("place").alias("met"))
     whole = listings.select(F.col(key).alias("own"), version(F.col(text)).alias("own_v"), F.col(text).alias("text"))  # words would double the shuffle
-    joined = (met.join(whole, F.col("id").eqNullSafe(F.col("own")) & (F.col("v") == F.col("own_v")))
-              .select("id", "v", "item", "item_words", "offset", words(F.col("text")).alias("words")))
-    low = F.greatest(F.lit(0), -F.col("offset"))
-    m, k = F.size("item_words"), F.col("k")
-    equal = F.zip_with(F.slice("item_words", F.col("low") + 1, k), F.slice("words", F.col("low") + F.col("offset") + 1, k), lambda x, y: x == y)
-    rest = ["id", "v", "item", "low", "offset", "whole"]
-    lain = (joined.withColumn("low", low).withColumn("k", F.least(m, F.size("words") - F.col("offset")) - F.col("low"))
-            .where(k >= F.least(m, F.lit(WINDOW))).withColumn("whole", m < WINDOW))
-    runs = _steps(lain, rest, [
-        ("e1", equal, ["k"]),
-        ("e2", F.when(~F.col("whole"), _pairs("e1", "e1", 1, k - 1, _both)), ["k", "e1"]),
-        ("e4", F.when(~F.col("whole"), _pairs("e2", "e2", 2, k - 3, _both)), ["k", "e1"]),
-        ("e8", F.when(~F.col("whole"), _pairs("e4", "e4", 4, k - 7, _both)), ["k", "e1", "e4"]),
-        ("e12", F.when(~F.col("whole"), _pairs("e8", "e4", 8, k - 11, _both)), ["k", "e1"]),
-        ("starts", F.when(F.col("whole"), F.array(F.forall("e1", lambda x: x))).otherwise(_pairs("e12", "e1", 12, k - 12, _both)), ["k"])])
-    begins = F.filter(F.transform("starts", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    size = F.when(F.col("whole"), k).otherwise(WINDOW)
-    spans = F.array_distinct(F.flatten(F.transform(begins, lambda i: F.sequence(i, i + size - 1))))
-    return runs.select("id", "v", "item", F.explode_outer(F.transform(spans, lambda i: i + F.col("low") + F.col("offset"))).alias("at")).where("at IS NOT NULL")
+    joined = met.join(whole, F.col("id").eqNullSafe(F.col("own")) & (F.col("v") == F.col("own_v"))).select("id", "v", "met", "text")
+
+    def around(place: Column) -> Column:
+        """Places of the windows that hold the 5-gram kept at ``place``; a short item's run is its own window."""
+        at = _at(place)
+        starts = F.sequence(F.greatest(F.lit(0), at - (WINDOW - GRAM)), at)
+        return F.when(_size(place) == WINDOW, F.transform(starts, lambda i: _place(i, WINDOW))).otherwise(F.array(place))
+
+    places = F.array_distinct(F.flatten(F.transform("met", around)))
+    windows = let(words(F.col("text")), lambda of: F.transform(
+        F.filter(F.col("places"), lambda p: _at(p) + _size(p) <= F.size(of)), lambda p: F.struct(p.alias("place"), _window(of, _at(p), _size(p)).alias("window"))))
+    mine = _steps(joined, ["id", "v"], [("places", places, ["text"]), ("windows", windows, [])]).select("id", "v", F.explode_outer("windows").alias("w"))
+    size = F.least(F.size("item_words"), F.lit(WINDOW))
+    every = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("item_words") - size), lambda i: _window(F.col("item_words"), i, size)))
+    theirs = known.select("item", F.explode_outer(every).alias("window"))
+    return mine.where("w IS NOT NULL").select("id", "v", "w.place", "w.window").join(theirs, "window").select("id", "v", "item", "place")
+
+
+def covered(places: Column) -> Column:
+    """Number of word positions that the windows at these places cover together."""
+    def add(done: Column, place: Column) -> Column:
+        end = _at(place) + _size(place)
+        return F.struct(F.greatest(done["upto"], end).alias("upto"),
+                        (done["n"] + F.greatest(F.lit(0), end - F.greatest(_at(place), done["upto"]))).alias("n"))
+
+    return F.aggregate(F.array_sort(places), F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")), add, lambda done: done["n"])
 
 
 def contamination(listings: DataFrame, items: DataFrame, key: str = "obs_id", text: str = "description", item_key: str = "item_id",
@@ -132,9 +166,9 @@ def contamination(listings: DataFrame, items: DataFrame, key: str = "obs_id", te
     contaminated if a twentieth of its words or more is hit. Null and empty texts have no words and are never hit; empty items
     never occur; an item without a key hits but is not named. Repeated rows give repeated results. Other columns are ignored.
     """
-    found = (hits(listings, items, key, text, item_key, item_text).withColumn("item", F.col("item").cast("string"))
-             .groupBy("id", "v").agg(F.count_distinct("at").alias("n_hit"), F.collect_set("item").alias("items"))
-             .withColumnsRenamed({"id": "hit_id", "v": "hit_v"}))
+    found = (occurrences(listings, items, key, text, item_key, item_text)
+             .groupBy("id", "v").agg(F.collect_set("place").alias("places"), F.collect_set(F.col("item").cast("string")).alias("items"))
+             .select(F.col("id").alias("hit_id"), F.col("v").alias("hit_v"), covered(F.col("places")).alias("n_hit"), "items"))
     mine = listings.select(F.col(key).alias("id"), version(F.col(text)).alias("v"), F.size(words(F.col(text))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return mine.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("v") == F.col("hit_v")), "left").select(

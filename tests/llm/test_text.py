@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -189,6 +190,26 @@ def test_contamination_matches_brute_force(spark, short):
         assert sorted((r.obs_id, r.n_hit) for r in doubled) == sorted((i, f[1]) for i, f in [*found.items()] * 2)
 
 
+def test_repeated_words_and_lines_cost_their_length(spark):
+    line = " ".join(f"w{i}" for i in range(14)) + " "
+    items = [(1, "a " * 2_000), (2, "0 " * 100), (3, "x y " * 900), (4, line * 200), (5, "b b b"), (6, "a " * 12 + "c"), (7, "b " * 11)]
+    texts = ["a " * 20_000, "A " * 12, "0 " * 99 + "x y " * 5_000 + "tail", line * 1_500, "b " * 4_000 + "end", "q " + "a " * 40 + "c " + "b b", "y x " * 3_000]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    began = time.time()
+    found = {r.obs_id: (r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in decontamination.contamination(frame(spark, texts), bench).collect()}
+    assert time.time() - began < 120
+    assert [found[i] for i in range(len(texts))] == plain_contamination(texts, items)
+
+
+def test_a_passage_that_all_texts_and_many_items_share(spark):
+    shared = " ".join(f"s{i}" for i in range(15))
+    items = [(i, f"{shared} only{i} of{i} this{i}") for i in range(40)]
+    texts = [f"own{i} {shared} {'more ' * (i % 7)}" + (f"{shared} only{i} of{i}" if i % 3 == 0 else "") for i in range(400)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.obs_id: (r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in decontamination.contamination(frame(spark, texts), bench).collect()}
+    assert [found[i] for i in range(len(texts))] == plain_contamination(texts, items)
+
+
 def test_language_model_counts_and_gains(spark):
     rows = read_listings(spark, SF)
     found = {r.obs_id: r for r in language_model.score(rows, remainder(F.col("obs_id")) != 1).collect()}
