@@ -6,7 +6,7 @@ import importlib
 
 from pricelens.plans.registry import ORACLE, QUERIES
 
-MODULES = ("listing_queries", "report_queries", "text_queries", "ingest_queries", "stream_queries", "scan_queries", "whole_scan_queries", "market_queries")
+MODULES = ("listing_queries", "report_queries", "text_queries", "title_grammar", "ingest_queries", "stream_queries", "scan_queries", "whole_scan_queries", "market_queries")
 
 
 def load():

@@ -9,7 +9,7 @@ import __spark_entry__ as entry_module
 from check import TABLES, _text
 
 FAST = ["unit_price", "tier_assign", "status_timeline", "price_events", "state_merge", "market_median", "rolling_market", "alert_stream", "daily_digest",
-        "watch_stats", "source_health", "source_cooldown", "scan_completeness", "review_overlay", "classify_drives", "classify_pc", "classify_keywords",
+        "watch_stats", "source_health", "source_cooldown", "scan_completeness", "review_overlay", "classify_drives", "classify_pc", "classify_keywords", "classify_drives_titles", "classify_pc_titles", "classify_keyword_watches", "union_watches",
         "ingest_lbc_listings", "ingest_card_pages", "topic_price_extract", "stream_state_merge"]
 
 
