@@ -111,8 +111,10 @@ def test_each_profile_reads_the_folders_of_its_watches(spark):
     assert sorted((r.watch or "", r.title or "") for r in stored.collect()) == sorted((r.watch or "", r.title or "") for r in rows.collect())
     watches = {w: {"profile": {"type": "keywords", "keywords": {"reject": [w]}}} for w in ("1", "2", "3")}
     judged = classify_by_watch(stored, watches)
-    plan = judged._jdf.queryExecution().executedPlan().toString()
-    pruned = [line for line in plan.splitlines() if "FileScan" in line]
-    assert len(pruned) == 3 and all("PartitionFilters: [" in line and "watch#" in line.split("PartitionFilters: [")[1].split("]")[0] for line in pruned)
+    drives = {w: {"profile": {"type": "hdd", "hdd": {"target_capacity_tb": int(w)}}} for w in ("1", "2", "3")}
+    for frame, scans in ((judged, 1), (classify_by_watch(stored, drives), 3)):  # keyword watches are one pass, drive settings one each
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        pruned = [line for line in plan.splitlines() if "FileScan" in line]
+        assert len(pruned) == scans and all("PartitionFilters: [" in line and "watch#" in line.split("PartitionFilters: [")[1].split("]")[0] for line in pruned)
     assert {(r.watch, r.verdict, r.reason) for r in judged.collect()} == {(w, "reject", f"reject:{w}") for w in ("1", "2", "3")}
     assert judged.count() == 9
